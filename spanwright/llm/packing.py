@@ -29,7 +29,7 @@ CAPACITY = 2048
 NEARLY_FULL = 0.99
 FAN_IN = 8
 NODE_ITEMS = 200_000
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 END_ID = b"\x00\x00\x00\x00"
 
 
@@ -38,6 +38,9 @@ class WordTokenizer:
 
     The vocabulary's rules lower the case and never let a token cross white space, so ids of a text are the
     ids of its words one after the other.  Texts that may hold a special token's string are encoded whole.
+
+    A word of letters is one unit to the vocabulary and its last token carries the end mark, so many new words are
+    encoded in one call and their ids told apart by that mark.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
@@ -46,46 +49,73 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.most = cached_words
         self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        made = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for word, one in zip(words, made, strict=True):
-            self.known[word] = np.asarray(one.ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends_word[i] = token.endswith("</w>")
+
+    def _learn(self, words: set[bytes]) -> None:
+        plain, other = [], []
+        for word in words:
+            # non-ASCII words may change their letters when normalized, so only common letters take the fast way
+            text = word.decode("utf-8", "replace")
+            (plain if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text else other).append(word)
+        if plain:
+            ids = np.asarray(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+            ends, raw, start = (np.flatnonzero(self.ends_word[ids]) + 1) * 4, ids.tobytes(), 0
+            if len(ends) == len(plain):
+                for word, end in zip(plain, ends.tolist(), strict=True):
+                    self.known[word] = raw[start:end]
+                    start = end
+            else:
+                other += plain
+        if other:
+            texts = [w.decode("utf-8", "replace") for w in other]
+            for word, one in zip(other, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+                self.known[word] = np.asarray(one.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = []
         for text in texts:
             text = text or ""
             split.append(None if "<|" in text else text.encode("utf-8", "replace").lower().split())
+        if len(self.known) > self.most:
+            self.known.clear()
+        known = self.known
         missing: set[bytes] = set()
         for words in split:
             if words:
                 missing.update(words)
-        if len(self.known) + len(missing) > self.most:
-            self.known.clear()
-        missing.difference_update(self.known.keys())
-        # a word with a full stop or comma at its end is that word and then the mark
-        later, bases = [], set()
-        for word in missing:
-            base = word[:-1]
-            if word[-1:] in (b".", b",") and base.isalpha():
-                later.append(word)
-                bases.add(base)
-        rest = (missing.difference(later) | bases | {b".", b","}) - self.known.keys()
-        self._learn(list(rest))
-        known = self.known
-        for word in later:
+        missing = {word for word in missing if word not in known}
+        # letters with a full stop or comma at the end are that word and then the mark
+        marked = [w for w in missing if w[-1:] in (b".", b",") and w[:-1].decode("utf-8", "replace").isalpha()]
+        new = missing.difference(marked)
+        if marked:
+            new.update(w[:-1] for w in marked)
+            new.update((b".", b","))
+        self._learn({word for word in new if word not in known})
+        for word in marked:
             known[word] = known[word[:-1]] + known[word[-1:]]
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                ids = self.tokenizer.encode(text or "", add_special_tokens=False).ids
                 out.append(np.asarray(ids, "<u4").tobytes())
             else:
                 out.append(b"".join(map(known.__getitem__, words)))
         return out
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process: Spark gives its workers several tasks, and the words stay known."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Best fit by falling length: for each item its bin and offset, and how full each bin is.
 
@@ -121,12 +151,12 @@ def pack_locally(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
         from pyspark import TaskContext
 
         node = TaskContext.get().partitionId()
-        words = WordTokenizer(tokenizer_path)
+        words = word_tokenizer(tokenizer_path)
         ids, pieces, starts, lengths, sums = [], [], [], [], []
         for frame in batches:
             texts, keys = frame["text"].tolist(), frame["doc_id"].tolist()
-            for at in range(0, len(texts), 500):
-                for key, content in zip(keys[at : at + 500], words.encode(texts[at : at + 500]), strict=True):
+            for at in range(0, len(texts), 250):
+                for key, content in zip(keys[at : at + 250], words.encode(texts[at : at + 250]), strict=True):
                     content += END_ID
                     for piece, start in enumerate(range(0, len(content), 4 * capacity)):
                         part = content[start : start + 4 * capacity]
