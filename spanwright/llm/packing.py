@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
+from itertools import filterfalse, islice
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ CAPACITY = 2048
 NEARLY_FULL = 0.99
 FAN_IN = 8
 NODE_ITEMS = 200_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 END_ID = b"\x00\x00\x00\x00"
 
 
@@ -39,54 +41,53 @@ class WordTokenizer:
     The vocabulary's rules lower the case and never let a token cross white space, so ids of a text are the
     ids of its words one after the other.  Texts that may hold a special token's string are encoded whole.
 
-    A word of letters is one unit to the vocabulary and its last token carries the end mark, so many new words are
-    encoded in one call and their ids told apart by that mark.
+    A word of letters is one unit to the vocabulary, so its new tokens come straight from the merge rules; only
+    other words go through the whole chain of rules.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.most = cached_words
         self.known: dict[bytes, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, i in vocabulary.items():
-            self.ends_word[i] = token.endswith("</w>")
+        # the vocabulary names bytes by printable characters: those that print stand for themselves, the others follow from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.byte_names = {b: 256 + i for i, b in enumerate(rest)}
 
     def _learn(self, words: set[bytes]) -> None:
-        plain, other = [], []
+        known, merge, other = self.known, self.merge, []
         for word in words:
-            # non-ASCII words may change their letters when normalized, so only common letters take the fast way
+            # letters below U+0250 are in normal form already, and all but U+0130 have one lower-case letter
             text = word.decode("utf-8", "replace")
-            (plain if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text else other).append(word)
-        if plain:
-            ids = np.asarray(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
-            ends, raw, start = (np.flatnonzero(self.ends_word[ids]) + 1) * 4, ids.tobytes(), 0
-            if len(ends) == len(plain):
-                for word, end in zip(plain, ends.tolist(), strict=True):
-                    self.known[word] = raw[start:end]
-                    start = end
-            else:
-                other += plain
+            if text.isascii():
+                if text.isalpha():
+                    known[word] = array("I", [t.id for t in merge(text)]).tobytes()
+                    continue
+            elif text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+                named = text.lower().encode().decode("latin-1").translate(self.byte_names)
+                known[word] = array("I", [t.id for t in merge(named)]).tobytes()
+                continue
+            other.append(word)
         if other:
             texts = [w.decode("utf-8", "replace") for w in other]
             for word, one in zip(other, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(one.ids, "<u4").tobytes()
+                known[word] = array("I", one.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = []
         for text in texts:
             text = text or ""
             split.append(None if "<|" in text else text.encode("utf-8", "replace").lower().split())
-        if len(self.known) > self.most:
-            self.known.clear()
+        if len(self.known) > self.most:  # those met first are the frequent ones
+            self.known = dict(islice(self.known.items(), self.most // 2))
         known = self.known
         missing: set[bytes] = set()
         for words in split:
             if words:
-                missing.update(words)
-        missing = {word for word in missing if word not in known}
+                missing.update(filterfalse(known.__contains__, words))
         # letters with a full stop or comma at the end are that word and then the mark
         marked = [w for w in missing if w[-1:] in (b".", b",") and w[:-1].decode("utf-8", "replace").isalpha()]
         new = missing.difference(marked)
@@ -99,8 +100,7 @@ class WordTokenizer:
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
-                ids = self.tokenizer.encode(text or "", add_special_tokens=False).ids
-                out.append(np.asarray(ids, "<u4").tobytes())
+                out.append(array("I", self.tokenizer.encode(text or "", add_special_tokens=False).ids).tobytes())
             else:
                 out.append(b"".join(map(known.__getitem__, words)))
         return out

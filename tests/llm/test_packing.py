@@ -20,7 +20,7 @@ def plain_ids(texts):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=6))
 def test_word_memory_gives_the_tokenizers_ids(texts):
-    texts = texts + ["It's THE end. ", "é É x", "a<|endoftext|>b", "İİ KK,don't.", "..", "a.b,c.", ""]
+    texts = texts + ["It's THE end. ", "é É x", "a<|endoftext|>b", "İİ KK,don't.", "..", "a.b,c.", "", "Größe, naïve. straße ŁÓDŹ øre ǅ ª º µ ﬁ", "ſ ß"]
     made = packing.WordTokenizer(PATH, cached_words=50)
     for _ in range(2):
         assert [m + packing.END_ID for m in made.encode(texts)] == [p.tobytes() for p in plain_ids(texts)]
