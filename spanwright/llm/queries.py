@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.llm import compression_quality, packing
+from spanwright.llm import compression_quality, packing, secret_linking, weak_supervision
 from spanwright.llm.common import table
 
 
@@ -16,6 +16,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_linking.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = weak_supervision.judge(table(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept", "posterior")
+
+
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = compression_quality.fit(documents, table(spark, sf_dir, "labels"))
@@ -27,6 +38,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_linking": op3_secret_linking,
+    "op4_weak_supervision": op4_weak_supervision,
     "op9_compression_quality": op9_compression_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
