@@ -1,8 +1,8 @@
 """Quality rules as weak supervision: rules vote or abstain, and what their votes are worth is learnt from the votes.
 
 Each rule votes good (+1), bad (-1) or abstains (0).  Documents are counted by pattern of votes (at most
-3 to the number of rules patterns, whatever the size of the corpus) and expectation-maximisation over those counts estimates, for
-either class, how often each rule that votes votes bad, and the share of bad documents.
+3 to the number of rules patterns, whatever the size of the corpus) and expectation-maximisation over those counts estimates how
+often each rule that votes is right, on good documents and on each kind of junk, and how common each kind is.
 A document's verdict is its posterior probability of being good, not that it passes every rule.
 
 Statistics, votes and posterior are column expressions; the driver sees only the counted patterns.
@@ -25,6 +25,7 @@ from spanwright.llm.native import let, words_of
 WINDOW = 5
 KEEP_FROM = 0.5
 ROUNDS = 60
+MOST_WRONG = 0.02
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -96,7 +97,7 @@ def default_rules() -> dict[str, Column]:
             (c("n_lines") >= 4) & (10 * c("n_dup_lines") > 3 * c("n_lines")), (c("n_lines") >= 3) & (c("n_dup_lines") == 0)
         ),
         "repeats": _vote(
-            10 * c("n_repeat_words") > c("n_words"), (c("n_words") >= 40) & (100 * c("n_repeat_words") <= c("n_words"))
+            (c("n_words") >= 40) & (5 * c("n_repeat_words") > c("n_words")), (c("n_words") >= 40) & (100 * c("n_repeat_words") <= c("n_words"))
         ),
         "word_length": _vote(
             (c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 11 * c("n_words")),
@@ -112,58 +113,82 @@ def default_rules() -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class VoteModel:
-    """bad_votes[rule] = (share of bad votes on good documents, the same on bad documents), among votes cast."""
+    """shares[k] is the share of class k; bad_votes[k][rule] how often the rule, if it votes, votes bad there.
 
-    bad_share: float
-    bad_votes: dict[str, tuple[float, float]]
+    Class 0 is good; there is one class of junk for each rule, the junk which that rule was written for.
+    """
+
+    shares: tuple[float, ...]
+    bad_votes: tuple[dict[str, float], ...]
+
+    def accuracy(self, rule: str) -> float:
+        """How often a vote that the rule casts is right."""
+        return sum(
+            share * (votes[rule] if k else 1 - votes[rule]) for k, (share, votes) in enumerate(zip(self.shares, self.bad_votes))
+        )
+
+    def odds(self, k: int, rule: str, vote: int) -> float:
+        """Log of how much likelier the vote is in class k than on good documents."""
+        here, good = self.bad_votes[k][rule], self.bad_votes[0][rule]
+        return math.log(here / good) if vote == -1 else math.log((1 - here) / (1 - good)) if vote == 1 else 0.0
 
     def posterior(self) -> Column:
         """Probability of good as an expression over the vote columns ``vote_<rule>``."""
-        logit = F.lit(math.log((1 - self.bad_share) / self.bad_share))
-        for rule, (on_good, on_bad) in self.bad_votes.items():
-            logit += (
-                F.when(F.col(f"vote_{rule}") == -1, math.log(on_good / on_bad))
-                .when(F.col(f"vote_{rule}") == 1, math.log((1 - on_good) / (1 - on_bad)))
-                .otherwise(0.0)
-            )
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+        against = F.lit(0.0)
+        for k in range(1, len(self.shares)):
+            logit = F.lit(math.log(self.shares[k] / self.shares[0]))
+            for rule in self.bad_votes[0]:
+                vote = F.col(f"vote_{rule}")
+                logit += F.when(vote == -1, self.odds(k, rule, -1)).when(vote == 1, self.odds(k, rule, 1)).otherwise(0.0)
+            against += F.exp(logit)
+        return F.lit(1.0) / (F.lit(1.0) + against)
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = ROUNDS) -> VoteModel:
     """Expectation-maximisation over counted vote patterns.
 
-    Priors, in pseudo-documents: a bad vote is rare on good documents (1 in 50) and even on bad ones; one document in
-    ten is bad.  They settle the labels of the two classes and what few documents leave open.
+    Junk comes in kinds, and most kinds break one rule while they pass the others, so bad documents are a mixture with
+    one class for each rule; a single class of junk would take every kind but the commonest for good.  Priors,
+    in pseudo-documents, settle which class is which: a bad vote is rare on good documents (1 in 100), common
+    in the rule's own class of junk and possible in the others, and each class of junk holds 1 document in 100.
+    At most ``MOST_WRONG`` of good documents get a rule's bad vote.
     """
     total = sum(n for _, n in patterns)
     weight = max(10.0, 0.01 * total)
-    belief = [0.9 if -1 in votes else 0.02 for votes, _ in patterns]  # of being bad
-    bad_share, shares = 0.1, {}
+    classes = range(len(names) + 1)
+    beliefs = []
+    for votes, _ in patterns:
+        broken = [r for r, v in enumerate(votes) if v == -1]
+        first = [0.97] + [0.03 / len(names)] * len(names)
+        if broken:
+            first = [0.1] + [0.9 / len(broken) if r in broken else 0.0 for r in range(len(names))]
+        beliefs.append(first)
+    shares, bad_votes = [], []
     for _ in range(rounds):
-        bad_share = (0.1 * weight + sum(b * n for b, (_, n) in zip(belief, patterns))) / (weight + total)
-        for r, name in enumerate(names):
-            cast = [0.0, 0.0]
-            against = [0.0, 0.0]
-            for b, (votes, n) in zip(belief, patterns):
-                if votes[r]:
-                    for k, part in enumerate((1 - b, b)):
-                        cast[k] += part * n
-                        against[k] += part * n * (votes[r] == -1)
-            shares[name] = (
-                min((against[0] + 0.02 * weight) / (cast[0] + weight), 0.45),
-                max((against[1] + 0.5 * 0.1 * weight) / (cast[1] + 0.1 * weight), 0.05),
-            )
-        belief = []
-        for votes, _ in patterns:
-            logit = math.log(bad_share / (1 - bad_share))
+        shares = [sum(b[k] * n for b, (_, n) in zip(beliefs, patterns)) + 0.01 * weight * (k > 0) for k in classes]
+        shares = [max(x / sum(shares), 1e-9) for x in shares]
+        bad_votes = []
+        for k in classes:
+            own: dict[str, float] = {}
             for r, name in enumerate(names):
-                on_good, on_bad = shares[name]
-                if votes[r] == -1:
-                    logit += math.log(on_bad / on_good)
-                elif votes[r] == 1:
-                    logit += math.log((1 - on_bad) / (1 - on_good))
-            belief.append(1 / (1 + math.exp(-logit)))
-    return VoteModel(bad_share, shares)
+                cast = sum(b[k] * n for b, (v, n) in zip(beliefs, patterns) if v[r])
+                against = sum(b[k] * n for b, (v, n) in zip(beliefs, patterns) if v[r] == -1)
+                if not k:
+                    own[name] = min((against + 0.01 * weight) / (cast + weight), MOST_WRONG)
+                else:
+                    prior, trust = (0.9, weight) if k == r + 1 else (0.1, 0.1 * weight)
+                    own[name] = min(max((against + prior * trust) / (cast + trust), 0.01), 0.99)
+            bad_votes.append(own)
+        model = VoteModel(tuple(shares), tuple(bad_votes))
+        beliefs = []
+        for votes, _ in patterns:
+            logits = [
+                math.log(shares[k] / shares[0]) + sum(model.odds(k, n, v) for n, v in zip(names, votes)) for k in classes
+            ]
+            top = max(logits)
+            likely = [math.exp(x - top) for x in logits]
+            beliefs.append([x / sum(likely) for x in likely])
+    return VoteModel(tuple(shares), tuple(bad_votes))
 
 
 def judge(documents: DataFrame, rules: dict[str, Column] | None = None, keep_from: float = KEEP_FROM) -> DataFrame:
