@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.llm import compression_quality, packing, secret_linking, weak_supervision
+from spanwright.llm import compression_quality, packing, secret_linking, set_relation_join, weak_supervision
 from spanwright.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "posterior")
 
 
+def op8_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_relation_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = compression_quality.fit(documents, table(spark, sf_dir, "labels"))
@@ -40,6 +44,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_linking": op3_secret_linking,
     "op4_weak_supervision": op4_weak_supervision,
+    "op8_set_relation_join": op8_set_relation_join,
     "op9_compression_quality": op9_compression_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
