@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_filter(ids: DataFrame, column: str, bits: int = 1 << 24):
+    """A test for columns of ids that lets all of ``ids`` pass and few others, for use before a join shuffles wide rows.
+
+    The filter is a bitmap of ``bits`` bits (2 MB) however many ids there are; when they are very many it lets more rows
+    through, which the join then drops.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = (
+        ids.select(place(F.col(column)).alias("place"))
+        .groupBy(F.shiftright("place", 6).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("word_bits"))
+        .toPandas()
+    )
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["word_bits"].to_numpy(np.int64)
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
+
+    @F.pandas_udf("boolean")
+    def known(places: pd.Series) -> pd.Series:
+        at = places.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda c: known(place(c))
+
+
 def held_out(doc_id) -> "F.Column":
     """True where crc32 of the id as text leaves remainder 0 modulo 5; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import written
+from spanwright.llm.common import id_filter, written
 from spanwright.llm.components import Forest, connected
 
 WIDTH = 3
@@ -309,7 +309,9 @@ def exact_links(cells: DataFrame, documents: DataFrame, width: int, percent: int
     placed = cells.join(sizes, "cell").withColumn("blocks", F.ceil(2 * F.col("count") / CELL_ROWS).cast("int"))
     placed = placed.withColumn("blocks", F.when(F.col("count") <= CELL_ROWS, 1).otherwise(F.col("blocks")))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    wanted = id_filter(cells, "rep")
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null")
+    texts = texts.where(wanted(F.col("rep")))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "rep", "cell", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block"
     )
