@@ -29,6 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder, to be deleted by :func:`release`."""
+    path = f"{shared_dir(spark)}/spanwright/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
@@ -36,9 +43,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     step sees the same rows even if ``df`` itself would come out in another order.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanwright/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.llm import compression_quality, packing, secret_linking, set_relation_join, weak_supervision
-from spanwright.llm.common import table
+from spanwright.llm import (
+    compression_quality,
+    packing,
+    preference_pairs,
+    secret_linking,
+    set_relation_join,
+    warc_index,
+    weak_supervision,
+)
+from spanwright.llm.common import scratch_path, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -16,6 +24,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc_index.write_archives(table(spark, sf_dir, "pages"), path)
+    index = warc_index.merge_index(spark, path)
+    first = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return index.select(*first, "url_key", "captured", "merge_range", "merge_pos")
+
+
 def op3_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_linking.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -27,6 +43,11 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "posterior")
 
 
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return preference_pairs.format_pairs(conversations, preference_pairs.pair_by_opening(conversations))
+
+
 def op8_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_relation_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -42,11 +63,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index": op1_warc_index,
     "op3_secret_linking": op3_secret_linking,
     "op4_weak_supervision": op4_weak_supervision,
+    "op6_preference_pairs": op6_preference_pairs,
     "op8_set_relation_join": op8_set_relation_join,
     "op9_compression_quality": op9_compression_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_preference_pairs": preference_pairs.ORACLE_SQL}
