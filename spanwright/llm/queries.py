@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanwright.llm import (
     compression_quality,
@@ -12,6 +13,8 @@ from spanwright.llm import (
     preference_pairs,
     secret_linking,
     set_relation_join,
+    soft_mixing,
+    toxicity_chain,
     warc_index,
     weak_supervision,
 )
@@ -32,6 +35,19 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(*first, "url_key", "captured", "merge_range", "merge_pos")
 
 
+#: The chain over the labelled table: junk first, as toxic documents are seldom junk.
+CHAIN = ["low_quality", "toxic"]
+#: The language mix that is asked for.
+LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    links = toxicity_chain.fit(documents, labels, CHAIN)
+    return toxicity_chain.flag(toxicity_chain.score(documents, links), "toxic")
+
+
 def op3_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_linking.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -48,6 +64,18 @@ def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_pairs.format_pairs(conversations, preference_pairs.pair_by_opening(conversations))
 
 
+def labelled_languages(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled documents with their language as the domain."""
+    return documents.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id")
+
+
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labelled = labelled_languages(documents, table(spark, sf_dir, "labels"))
+    mixed, _ = soft_mixing.mix(documents, soft_mixing.fit_domains(documents, labelled), LANGUAGE_WEIGHTS)
+    return mixed
+
+
 def op8_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_relation_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -64,9 +92,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
+    "op2_toxicity_chain": op2_toxicity_chain,
     "op3_secret_linking": op3_secret_linking,
     "op4_weak_supervision": op4_weak_supervision,
     "op6_preference_pairs": op6_preference_pairs,
+    "op7_soft_mixing": op7_soft_mixing,
     "op8_set_relation_join": op8_set_relation_join,
     "op9_compression_quality": op9_compression_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
