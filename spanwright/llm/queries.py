@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanwright.llm import (
     compression_quality,
+    graph_dedup,
     packing,
     preference_pairs,
     secret_linking,
@@ -59,6 +60,11 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "posterior")
 
 
+def op5_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found
+
+
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return preference_pairs.format_pairs(conversations, preference_pairs.pair_by_opening(conversations))
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_chain": op2_toxicity_chain,
     "op3_secret_linking": op3_secret_linking,
     "op4_weak_supervision": op4_weak_supervision,
+    "op5_graph_dedup": op5_graph_dedup,
     "op6_preference_pairs": op6_preference_pairs,
     "op7_soft_mixing": op7_soft_mixing,
     "op8_set_relation_join": op8_set_relation_join,

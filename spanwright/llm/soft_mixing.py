@@ -126,6 +126,17 @@ class Mixture:
         return of(*[F.col(f"p{k}") for k in range(len(self.domains))])
 
 
+def rate_of_text(text: Column, model: DomainModel, mixture: Mixture) -> Column:
+    """The fitted rate straight from the text, so that a table of documents need not be joined with its rates."""
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        p = np.array([model.posterior(*hashed_words(t)) for t in texts]).reshape(len(texts), -1)
+        return pd.Series(_rates(p, mixture.residuals))
+
+    return of(text)
+
+
 def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: np.ndarray, steps: int = STEPS) -> Mixture:
     """``members`` has n_tokens and p0, p1, ...; ``targets`` are token totals, one for each domain."""
     d = len(domains)
