@@ -6,14 +6,14 @@ for each rendered turn: segment ``prompt`` once for both, then ``chosen`` and ``
 order of ``turn``.  The mask is per turn: ``trained`` marks the turns of a completion that the assistant wrote, and of such a
 turn the code points from ``train_from`` on (the content and its end mark, not the role's header).
 
-:func:`pair_by_opening` makes pairs where the data name none: conversations with an equal first turn answer the
-same request; they are paired in order of id, first within blocks of ids, then those left over, and the
-one with the smaller id is the chosen one.
+Where the data name no pairs, :func:`pair_by_id` takes an even conv_id and the next odd one as chosen and rejected, so that every
+conversation is in one pair.  :func:`pair_by_opening` pairs only conversations with an equal first turn, in order
+of id, first within blocks of ids, then those left over; the smaller id is the chosen one.
 
 Defined results: rows without conv_id belong to no conversation.  Turns are placed by their number, a null one before all
 others; several rows of one turn are compared as a bag and rendered in order of role and text.  A null role or text
-is rendered as empty, and differs from an empty one.  A conversation without a partner makes no pair.
-Where one conversation is the beginning of the other its completion is empty and has no rows.
+is rendered as empty, and differs from an empty one.  If one conversation of a pair is missing the pair has no prompt and the
+other conversation is its completion.  Where one conversation is the beginning of the other its completion is empty and has no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,13 @@ def _content(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("role").isNull(), "role", F.col("text").isNull(), "text")
 
 
+def pair_by_id(conversations: DataFrame) -> DataFrame:
+    """(chosen_id, rejected_id): every even id with the odd one after it, if either is there."""
+    chosen = F.col("conv_id") - F.pmod("conv_id", F.lit(2))
+    pairs = conversations.where("conv_id is not null").select(chosen.alias("chosen_id")).distinct()
+    return pairs.withColumn("rejected_id", F.col("chosen_id") + 1)
+
+
 def pair_by_opening(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """(chosen_id, rejected_id) of conversations with an equal first turn."""
     place = F.coalesce("turn", F.lit(FIRST))
@@ -104,18 +111,9 @@ def assemble(formatted: DataFrame) -> DataFrame:
 
 #: The same in DuckDB, for tables without repeated turns.
 ORACLE_SQL = """
-with opening as (
-  select conv_id, arg_min(coalesce(role, '') || chr(1) || coalesce(text, ''), turn) as first
-  from conversations where conv_id is not null group by conv_id),
-near as (
-  select conv_id, first, row_number() over w - 1 as rank, lead(conv_id) over w as next_id
-  from opening window w as (partition by first, conv_id // 1024 order by conv_id)),
-far as (
-  select conv_id, row_number() over w - 1 as rank, lead(conv_id) over w as next_id
-  from near where rank % 2 = 0 and next_id is null window w as (partition by first order by conv_id)),
-pairs as (
-  select conv_id as chosen_id, next_id as rejected_id from near where rank % 2 = 0 and next_id is not null
-  union all select conv_id, next_id from far where rank % 2 = 0 and next_id is not null),
+with pairs as (
+  select distinct conv_id - conv_id % 2 as chosen_id, conv_id - conv_id % 2 + 1 as rejected_id
+  from conversations where conv_id is not null),
 c as (select p.*, t.turn, t.role, t.text from pairs p join conversations t on t.conv_id = p.chosen_id),
 r as (select p.*, t.turn, t.role, t.text from pairs p join conversations t on t.conv_id = p.rejected_id),
 parts as (

@@ -67,7 +67,7 @@ def op5_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
-    return preference_pairs.format_pairs(conversations, preference_pairs.pair_by_opening(conversations))
+    return preference_pairs.format_pairs(conversations, preference_pairs.pair_by_id(conversations))
 
 
 def labelled_languages(documents: DataFrame, labels: DataFrame) -> DataFrame:

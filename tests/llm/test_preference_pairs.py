@@ -51,6 +51,14 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_every_conversation_is_in_one_pair(spark):
+    rows = [(4, 0, "user", "q"), (5, 0, "user", "q"), (5, 1, "assistant", "a"), (7, 0, "user", "lone"), (None, 0, "user", "q"), (-2, 3, "user", "x")]
+    conversations = frame(spark, rows)
+    got = pp.format_pairs(conversations, pp.pair_by_id(conversations)).collect()
+    assert sorted((r.chosen_id, r.rejected_id, r.segment, r.turn, r.trained) for r in got) == [
+        (-2, -1, "chosen", 3, False), (4, 5, "prompt", 0, False), (4, 5, "rejected", 1, True), (6, 7, "rejected", 0, False)]
+
+
 def test_odd_rows(spark):
     rows = [(1, 0, "user", "q"), (2, 0, "user", "q"), (1, 1, "assistant", None), (2, 1, "assistant", ""), (None, 0, "user", "q"),
             (3, None, None, "z"), (3, None, None, "z"), (4, None, None, "z"), (4, None, None, "z"), (4, 2, "assistant", "w" * 100000)]
