@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanwright.plans import span_queries
+
 FLAGSHIP = "edge_match_main_score"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(span_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(span_queries.ORACLE_SQL)
