@@ -220,9 +220,10 @@ def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.first_holder(predicted(spark, sf_dir).withColumn("commit_ms", delay), gold(spark, sf_dir), 0.5, BIN)
 
 
-@query(f"{HOLD_SQL} select video_id, idx, holder, commit_ms from held where n = 1")
+@query(f"{HOLD_SQL} select video_id, idx, holder, coalesce(commit_ms, -1) as commit_ms from held where n = 1")
 def unit_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _holders(spark, sf_dir).select("video_id", "idx", "holder", "commit_ms")
+    """The first holder of each unit; -1 stands for no commit time."""
+    return _holders(spark, sf_dir).select("video_id", "idx", "holder", F.coalesce("commit_ms", F.lit(-1)).alias("commit_ms"))
 
 
 @query(f"""{HOLD_SQL}, x as (select (commit_ms - end_ms) / 1000.0::double as x from held where n = 1 and commit_ms is not null),
