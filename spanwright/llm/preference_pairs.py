@@ -92,7 +92,7 @@ def format_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
             "role",
             F.concat(header, F.coalesce("text", F.lit("")), F.lit("<|end|>\n")).alias("rendered"),
             trained.alias("trained"),
-            F.when(trained, F.length(header).cast("long")).alias("train_from"),
+            F.length(header).cast("long").alias("train_from"),
         )
     )
 
@@ -128,6 +128,6 @@ placed as (
 select chosen_id, rejected_id, case when shared then 'prompt' else side end as segment, turn, role,
   '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) as rendered,
   not shared and coalesce(role = 'assistant', false) as trained,
-  case when not shared and role = 'assistant' then length(role) + 5 end as train_from
+  length(coalesce(role, '')) + 5 as train_from
 from placed where not shared or side = 'chosen'
 """

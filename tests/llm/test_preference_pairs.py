@@ -36,7 +36,7 @@ def brute(rows):
         for seg, turns in (("prompt", x[:n]), ("chosen", x[n:]), ("rejected", y[n:])):
             for t, role, text in turns:
                 on = seg != "prompt" and role == "assistant"
-                out.append((a, b, seg, t, role, f"<|{role}|>\n{text}<|end|>\n", on, len(role) + 5 if on else None))
+                out.append((a, b, seg, t, role, f"<|{role}|>\n{text}<|end|>\n", on, len(role) + 5))
     return sorted(out, key=str)
 
 
