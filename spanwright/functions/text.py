@@ -76,11 +76,18 @@ def shingles(array: Column, n: int) -> Column:
     return F.array_distinct(_runs(array, n))
 
 
+def shingle_hashes(array: Column, n: int) -> Column:
+    """The distinct runs of n words as 64-bit hashes, for joins that only ask which are equal."""
+    starts = lambda a: F.sequence(F.lit(1), F.size(a) - (n - 1))
+    hashed = lambda a: F.array_distinct(F.transform(starts(a), lambda i: F.xxhash64(F.slice(a, i, n))))
+    return let(array, lambda a: F.when(F.size(a) >= n, hashed(a)).otherwise(F.array().cast("array<bigint>")))
+
+
 def function_word_share(text: Column) -> Column:
     """Share of the words that belong to the closed set; 0 without words."""
     found = F.transform(words(text), F.lower)
-    known = F.filter(found, lambda w: F.array_contains(F.array(*[F.lit(x) for x in FUNCTION_WORDS]), w))
-    return F.when(F.size(found) > 0, F.size(known) / F.size(found)).otherwise(F.lit(0.0))
+    known = lambda a: F.size(F.filter(a, lambda w: w.isin(FUNCTION_WORDS)))
+    return let(found, lambda a: F.when(F.size(a) > 0, known(a) / F.size(a)).otherwise(F.lit(0.0)))
 
 
 def non_latin_share(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwright.functions import text as tx
 from spanwright.operators import dedup, labels, textmetrics
-from spanwright.sources.tables import SPANS_SQL, spans, table
+from spanwright.sources.tables import SPANS_SQL, spans, spread, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -36,7 +36,7 @@ KNOWN_SQL = "[" + ", ".join(f"'{w}'" for w in tx.FUNCTION_WORDS) + "]"
 from (select doc_id, text, regexp_extract_all(text, {WORD_SQL}) as w, length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g')) as l from documents)""")
 def language_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.size(tx.words(text)).cast("long").alias("n_words"),
         F.round(tx.function_word_share(text), 9).alias("function_share"),
@@ -51,7 +51,7 @@ c as (select lower(word) as word, count(*) filter (where regexp_matches(word, '^
 select word, lower_n, capital_n from c where lower_n > capital_n""")
 def fold_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that occur in lower case more often than capitalised inside a sentence; sentences end at a final mark."""
-    sentences = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[.!?]+\s+", -1)).alias("sentence"))
+    sentences = spread(table(spark, sf_dir, "documents")).select(F.explode(F.split("text", r"[.!?]+\s+", -1)).alias("sentence"))
     found = sentences.select(F.posexplode(tx.words(F.col("sentence"))).alias("i", "word"))
     small = F.col("word").rlike("^[a-z]")
     counted = found.groupBy(F.lower("word").alias("word")).agg(
@@ -63,7 +63,7 @@ def fold_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a video whose cues are its sentences, in lower case and with single spaces."""
     cues = F.transform(F.split(F.lower("text"), r"[.!?\n]+", -1), lambda c: F.trim(F.regexp_replace(c, "[ \t\r]+", " ")))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.filter(cues, lambda c: c != "").alias("cues"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), F.filter(cues, lambda c: c != "").alias("cues"))
 
 
 COPIES_SQL = f"""with c as (select doc_id as key, list_filter(list_transform(regexp_split_to_array(lower(text), '[.!?\\n]+'), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), lambda x: x <> '') as cues from documents),
@@ -98,7 +98,7 @@ def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as the hypothesis for the next one."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))
-    turns = table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(w)).where("next is not null")
+    turns = spread(table(spark, sf_dir, "conversations")).withColumn("next", F.lead("text").over(w)).where("next is not null")
     return turns.select(F.struct("conv_id", "turn").alias("pair"), tokens("text").alias("hyp"), tokens("next").alias("ref"))
 
 

@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table out over all cores if it comes as fewer pieces than there are, as one small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, idx, kind, start_ms and end_ms: each event as a span of its user's stream."""
     events = table(spark, sf_dir, "events")
