@@ -109,4 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_preference_pairs": preference_pairs.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_secret_linking": secret_linking.ORACLE_SQL,
+    "op6_preference_pairs": preference_pairs.ORACLE_SQL,
+}

@@ -141,3 +141,40 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
     rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(ordered, first, step, rest)).otherwise(text)
+
+
+def _oracle_sql() -> str:
+    """The same in DuckDB, where the interval join is written as what it means: a complementary part within the scope."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    plain = [ASSIGN, ACCESS, HEX.rstrip("+"), IDENT, BLOB.rstrip("+"), ENDPOINT]
+    raw = " union all ".join(
+        f"select doc_id, {k} as kind, regexp_extract_all(t, {quoted(p)}) as m, regexp_split_to_array(t, {quoted(p)}) as b, "
+        f"regexp_extract_all(t, {quoted(p)}, {2 if k in (0, 3) else 0}) as h from d where regexp_matches(t, {quoted(p)})"
+        for k, p in enumerate(plain)
+    )
+    near = lambda kinds, within: (
+        f"exists (select 1 from good p where p.doc_id = w.doc_id and (p.kind, p.s, p.e) <> (w.kind, w.s, w.e) "
+        f"and p.kind in ({kinds}) and w.s - p.e < {within} and p.s - w.e < {within})"
+    )
+    identifier, secret = near("1, 3", SCOPE), near("0, 4", SCOPE)
+    names = "[" + ", ".join(quoted(k) for k in KINDS) + "]"
+    counts = ", ".join(f"count(*) filter (where kind = {k}) as n_{KINDS[k]}" for k in range(N_STRONG))
+    listed = f"string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' order by s, kind, e)"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+raw as ({raw}),
+found as (select doc_id, kind, m[k] as v, h[k] as g,
+    cast(list_sum(list_transform(b[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) as bigint) as s
+  from raw, unnest(range(1, len(m) + 1)) u(k)),
+good as (select doc_id, kind, s, s + length(v) as e from found where case kind when 0 then length(g) >= 8 when 3 then length(g) >= 4
+  when 4 then regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]') else true end),
+kept as (select * from good where kind < {N_STRONG} union all
+  select * from good w where kind >= {N_STRONG} and not {near("0, 1, 2", 0)}
+    and case kind when 3 then {secret} when 4 then {identifier} else {identifier} and {secret} end),
+shown as (select doc_id, {counts}, coalesce({listed} filter (where kind < {N_STRONG}), '') as base, {listed} as spans from kept group by doc_id)
+select d.doc_id, {", ".join(f"coalesce(n_{KINDS[k]}, 0) as n_{KINDS[k]}" for k in range(N_STRONG))},
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join shown using (doc_id)
+"""
+
+
+ORACLE_SQL = _oracle_sql()
