@@ -33,7 +33,7 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc_index.write_archives(table(spark, sf_dir, "pages"), path)
     index = warc_index.merge_index(spark, path)
     first = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return index.select(*first, "url_key", "captured", "merge_range", "merge_pos")
+    return index.select(*first, "url_key", "captured", "capture_rank")
 
 
 #: The chain over the labelled table: junk first, as toxic documents are seldom junk.
@@ -110,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_index": warc_index.ORACLE_SQL,
     "op3_secret_linking": secret_linking.ORACLE_SQL,
     "op6_preference_pairs": preference_pairs.ORACLE_SQL,
 }

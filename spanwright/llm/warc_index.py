@@ -7,8 +7,8 @@ the smallest page_id is a response and the others revisit it.
 ``merge_index`` reads the archives back.  Every archive gives a run of index lines, sorted locally by URL key, time and page.
 The runs are cut at common key ranges; the pieces of one range meet in one task, which merges them
 with a loser tree.  A range holds about ``RANGE_ROWS`` lines, and its bounds are whole keys (URL key, time,
-page), so a host or URL with very many captures is spread over ranges like any other.  The place in the global order is
-(merge_range, merge_pos); a URL's capture history is its lines in that order.
+page), so a host or URL with very many captures is spread over ranges like any other.  ``capture_rank`` is a line's place in
+the global order; a URL's capture history is its lines in that order.
 
 Defined results: a null html is an empty payload, a null url has the key "-" and is read back as null.  Rows equal in page_id
 and payload are one capture written twice: both are responses, or both revisit.  A page without page_id
@@ -24,7 +24,7 @@ import math
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwright.llm.common import written
@@ -234,4 +234,32 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 
 
 def merge_index(spark: SparkSession, path: str) -> DataFrame:
-    return merge_runs(written(sorted_runs(spark, path), "index-runs"))
+    """All lines with their range, their place in it, and capture_rank, their place in all."""
+    merged = written(merge_runs(written(sorted_runs(spark, path), "index-runs")), "index")
+    # one row for each range, so this window and the join's small side are as short as the list of ranges
+    before = Window.orderBy("merge_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = merged.groupBy("merge_range").agg(F.count("*").alias("n"))
+    offsets = offsets.select("merge_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    return merged.join(offsets, "merge_range").withColumn("capture_rank", F.col("ahead") + F.col("merge_pos")).drop("ahead")
+
+
+def _oracle_sql() -> str:
+    bits = lambda k: f"cast('0x' || substr(h, {5 * k + 1}, 5) as bigint)"
+    letters = " || ".join(f"substr('{ALPHABET}', 1 + (({bits(k)} >> {s}) & 31)::int, 1)" for k in range(8) for s in (15, 10, 5, 0))
+    pattern = r"'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@]*@)?([^/?#:]*)(:\d+)?([^#]*)'"
+    part = lambda g: f"regexp_extract(url, {pattern}, {g})"
+    return f"""
+with p as (select page_id, url, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages),
+d as (select page_id, url, octet_length(encode(payload)) as payload_bytes, {letters} as payload_digest, min(page_id) over (partition by h) as first_id,
+  case when coalesce(url, '') = '' then '-' when not regexp_matches(url, {pattern}) then url
+    else array_to_string(list_reverse(string_split(lower({part(1)}), '.')), ',') || case when {part(2)} in ('', ':80', ':443') then '' else {part(2)} end
+      || ')' || case when {part(3)} = '' then '/' else {part(3)} end end as url_key,
+  strftime(to_timestamp({FIRST_SECOND} + page_id % 1000000000) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as captured from p)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest, case when first_id <> page_id then 'revisit' else 'response' end as record_type,
+  case when first_id <> page_id then first_id end as refers_to, url_key, captured, row_number() over (order by url_key, captured, page_id) - 1 as capture_rank
+from d
+"""
+
+
+#: The same in DuckDB, for pages with distinct ids and URLs without control characters.
+ORACLE_SQL = _oracle_sql()

@@ -55,6 +55,7 @@ def test_many_ranges_keep_one_global_order(spark, tmp_path, monkeypatch):
     keys = list(zip(got.url_key, got.captured, got.page_id))
     assert len(keys) == 600 and keys == sorted(keys) and got.merge_range.nunique() > 5
     assert got.groupby("merge_range").size().max() <= 150
+    assert got.capture_rank.tolist() == list(range(600))
 
 
 def test_empty_table(spark, tmp_path):
