@@ -47,29 +47,6 @@ def read_vtt(spark: SparkSession, path: str) -> DataFrame:
     return parse_vtt(files.withColumnRenamed("value", "content"))
 
 
-def merge_rolling(cues: DataFrame) -> DataFrame:
-    """Fuse each cue with the one before it if they overlap and one's text holds the other's; the longer text stays.
-
-    The fold runs over one video's cues in order, so a chain of fused cues grows as one.
-    """
-    order = F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "idx", "text")))
-    kind = "array<struct<start_ms:bigint,end_ms:bigint,idx:bigint,text:string>>"
-
-    def step(done: Column, cue: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        holds = F.contains(last["text"], cue["text"]) | F.contains(cue["text"], last["text"])
-        fuse = F.coalesce((cue["start_ms"] < last["end_ms"]) & holds, F.lit(False))
-        text = F.when(F.length(last["text"]) > F.length(cue["text"]), last["text"]).otherwise(cue["text"])
-        fused = F.struct(
-            last["start_ms"].alias("start_ms"), F.greatest(last["end_ms"], cue["end_ms"]).alias("end_ms"), last["idx"].alias("idx"), text.alias("text")
-        )
-        before = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(fuse, F.concat(before, F.array(fused).cast(kind))).otherwise(F.concat(done, F.array(cue).cast(kind)))
-
-    folded = F.aggregate("cues", F.array().cast(kind), step)
-    return cues.groupBy("video_id").agg(order.alias("cues")).select("video_id", F.inline(folded))
-
-
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     """(video_id, split) from a CSV with one of the known id and split columns; ``val`` is dev, and other values go.
 

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from spanwright.operators.captions import merge_rolling
 from spanwright.sources import readers as rd
 
 VTT = """WEBVTT
@@ -29,14 +30,14 @@ def test_vtt(spark, tmp_path):
     cues = rd.read_vtt(spark, str(tmp_path))
     got = sorted((r.video_id, r.start_ms, r.end_ms, r.text) for r in cues.collect())
     assert got == [("v1", 1000, 2500, "Hello there friend!"), ("v1", 2000, 5000, "Hello there friend! And more")]
-    merged = rd.merge_rolling(cues).collect()
+    merged = merge_rolling(cues).collect()
     assert [(r.start_ms, r.end_ms, r.text) for r in merged] == [(1000, 5000, "Hello there friend! And more")]
 
 
 def test_rolling_ties_take_the_new_text_and_gaps_part(spark):
     rows = [("a", 0, 1000, 5000, "HELLO WORLD"), ("a", 1, 4000, 8000, "HELLO WORLD"), ("a", 2, 8000, 9000, "HELLO WORLD")]
     frame = spark.createDataFrame(rows, "video_id string, idx long, start_ms long, end_ms long, text string")
-    assert sorted((r.start_ms, r.end_ms) for r in rd.merge_rolling(frame).collect()) == [(1000, 8000), (8000, 9000)]
+    assert sorted((r.start_ms, r.end_ms) for r in merge_rolling(frame).collect()) == [(1000, 8000), (8000, 9000)]
 
 
 def test_splits(spark, tmp_path):
