@@ -11,6 +11,7 @@ from spanwright.operators import labels
 from spanwright.plans.score_queries import ALL_SQL, _all_units, _captions, _streams
 from spanwright.plans.span_queries import BIN, HOUR, TRUSTED_GAP
 from spanwright.sources.tables import SPANS_SQL, spans, table
+from spanwright.streaming.commit_gate import Config, replay
 
 SHORTEST, LONGEST = 8 * HOUR, 40 * HOUR
 
@@ -210,3 +211,10 @@ def drawn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.where((start < F.col("total_ms")) & (F.col("e") > 0)).select(
         "video_id", "idx", F.greatest(start, F.lit(0)).alias("start_ms"), F.least("e", "total_ms").alias("end_ms")
     )
+
+
+@query(None)
+def committed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the commit gate emits when it reads each stream's gold tags, an hour a frame; tests replay small streams by hand."""
+    tags = _labels(spark, sf_dir, _all_units(spark, sf_dir))
+    return replay(tags, Config(stride=6, delta=2, votes=3, cap=96))

@@ -1,10 +1,14 @@
 """From frame tags to committed spans: votes stride by stride, a commit when the end of a span holds still.
 
 At each stride's end the buffer's complete spans vote.  A span is stable after ``votes`` strides in a row in which it was
-seen with terminators no further than ``delta`` frames apart.  A stable span that starts at or behind the frontier is
-committed and the frontier moves to its terminator; if the buffer is full its first span is committed unready and flagged;
-if a full buffer has no complete span, what is older than the cap is dropped.  At the end of a stream its complete
-spans are committed.
+seen with terminators no further than ``delta`` frames apart.  The first span of the buffer is committed once stable, or
+unready and flagged when the buffer is full; the frontier moves to its terminator, and the buffer is read again until
+nothing commits.  Committed frames read as unknown, and a unit under way right at a decoded terminator opens there.
+
+A full buffer without a complete span loses its votes.  An open span that starts more than ``delta`` after the buffer does
+is kept for the next buffer, once; else its closed part is committed up to the frame of the middle of the buffer that
+looks least like inside, flagged as a cut; else the buffer is dropped.  Neither a cut nor a drop certifies a start.  At the
+end of a stream its complete spans are committed and an open one goes.
 
 The same state machine replays whole streams (:func:`replay`, one stream at a time) and runs on a stream of
 frames (:func:`stream_commits`, with the machine in Spark's state store).  Streams are independent of one another.
@@ -19,8 +23,9 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
-OUT, BEGIN, INSIDE = 1, 2, 3
-SCHEMA = "stream_id long, start_frame int, end_frame int, commit_frame int, partial boolean"
+UNKNOWN, OUT, BEGIN, INSIDE = 0, 1, 2, 3
+SCHEMA = "stream_id long, start_frame int, end_frame int, commit_frame int, partial boolean, cap_cut boolean"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -31,6 +36,11 @@ class Config:
     cap: int = 960
     least: int = 1
 
+    @property
+    def cut_window(self) -> tuple[int, int]:
+        """Frames of a full buffer, counted from its first, that may end a cut span: the later half without the last votes."""
+        return self.cap // 2, self.cap - (self.votes - 1) * self.stride
+
 
 @dataclass
 class CommitGate:
@@ -75,7 +85,8 @@ class CommitGate:
         ]
 
 
-def complete_spans(tags: list[int], first: int) -> list[tuple[int, int]]:
+def read_spans(tags: list[int], first: int) -> tuple[list[tuple[int, int]], int | None]:
+    """The complete spans of a buffer and the start of the one still open at its end."""
     spans, start, before = [], None, None
     for at, tag in enumerate(tags, first):
         if start is not None and tag != INSIDE:
@@ -84,7 +95,7 @@ def complete_spans(tags: list[int], first: int) -> list[tuple[int, int]]:
         if tag == BEGIN or (start is None and tag == INSIDE and before == OUT):
             start = at
         before = tag
-    return spans
+    return spans, start
 
 
 class Machine:
@@ -93,57 +104,109 @@ class Machine:
     def __init__(self, config: Config):
         self.config, self.gate = config, CommitGate(config)
         self.tags: list[int] = []
+        self.inside: list[float] = []
         self.first = self.frontier = 0
-        self.done = 0  # strides so far
-
-    def _commit(self, span, now: int, partial: bool):
-        self.gate.retire(span)
-        self.frontier = span[1]
-        # the next buffer begins a little before the commit, so that a new span's opening frame is seen in context
-        keep = max(self.first, span[1] - 1)
-        self.tags, self.first = self.tags[keep - self.first :], keep
-        return span[0], span[1], now, partial
-
-    def _targets(self):
-        return [s for s in complete_spans(self.tags, self.first) if s[0] >= self.frontier and s[1] - s[0] >= self.config.least]
+        self.certified = False
+        self.last_kept: int | None = None
+
+    @property
+    def now(self) -> int:
+        return self.first + len(self.tags)
+
+    def _move(self, to: int) -> None:
+        drop = to - self.first
+        self.tags, self.inside, self.first = self.tags[drop:], self.inside[drop:], to
+
+    def _behind(self, end: int) -> int:
+        """Where the next buffer begins: a little before ``end``, and further on than this one in any case."""
+        return max(end - self.config.delta, min(end, self.first + 1))
+
+    def _decoded(self) -> list[int]:
+        tags = list(self.tags)
+        fresh = min(max(self.frontier - self.first, 0), len(tags))
+        tags[:fresh] = [UNKNOWN] * fresh
+        if self.certified and fresh < len(tags) and tags[fresh] == INSIDE and self.first + fresh == self.frontier:
+            tags[fresh] = BEGIN
+        return tags
+
+    def _emit(self, span: tuple[int, int], partial: bool, cut: bool) -> tuple:
+        row = (*span, self.now, partial, cut)
+        self.frontier, self.certified = span[1], not cut
+        self._move(self._behind(span[1]))
+        return row
+
+    def _full_without_span(self, start: int | None) -> tuple | None:
+        c, now = self.config, self.now
+        again = start is not None and self.last_kept is not None and abs(start - self.last_kept) <= c.delta
+        if start is not None and start - self.first > c.delta and not again:
+            self.last_kept = start
+            self.certified = self.certified and start - c.delta <= self.frontier
+            self._move(start - c.delta)
+            return None
+        lo, hi = c.cut_window
+        window = range(max(lo, 0), min(hi + 1, len(self.tags)))
+        if start is not None and now - start >= c.least and window:
+            cut = self.first + min(window, key=lambda k: (self.inside[k], k))
+            if cut - start >= c.least:
+                return self._emit((start, cut), False, True)
+        self._move(self._behind(now))
+        self.certified = False
+        return None
+
+    def _pass(self, vote: bool, drain: bool = False) -> tuple | None:
+        full = drain or len(self.tags) >= self.config.cap
+        spans, opened = read_spans(self._decoded(), self.first)
+        spans = [s for s in spans if s[1] - s[0] >= self.config.least]
+        if vote:
+            self.gate.vote(spans)
+        if spans:
+            stable = self.gate.stable(spans[0])
+            if not stable and not full:
+                return None
+            self.gate.retire(spans[0])
+            return self._emit(spans[0], not stable, False)
+        if full:
+            self.gate.histories = []
+        return self._full_without_span(opened) if full and not drain else None
 
-    def push(self, tag: int) -> list[tuple]:
+    def push(self, tag: int, inside: float | None = None) -> list[tuple]:
         self.tags.append(tag)
-        now = self.first + len(self.tags)
-        if now // self.config.stride == self.done:
+        self.inside.append(float(tag == INSIDE) if inside is None else inside)
+        on_stride = self.now % self.config.stride == 0
+        if not on_stride and len(self.tags) < self.config.cap:
             return []
-        self.done = now // self.config.stride
-        out = []
-        self.gate.vote(self._targets())
-        while targets := self._targets():
-            full = len(self.tags) >= self.config.cap
-            if not self.gate.stable(targets[0]) and not full:
-                break
-            out.append(self._commit(targets[0], now, full and not self.gate.stable(targets[0])))
-        if len(self.tags) >= self.config.cap and not self._targets():
-            drop = len(self.tags) - self.config.cap // 2
-            self.tags, self.first = self.tags[drop:], self.first + drop
-            self.frontier = max(self.frontier, self.first)
-            self.gate.histories = []
+        out, event = [], self._pass(on_stride)
+        while event is not None:
+            out.append(event)
+            # a cut took the votes with it, so another look could commit nothing
+            event = None if event[4] else self._pass(False)
         return out
 
     def end(self) -> list[tuple]:
-        out, now = [], self.first + len(self.tags)
-        while targets := self._targets():
-            out.append(self._commit(targets[0], now, not self.gate.stable(targets[0])))
+        out = []
+        while (event := self._pass(False, drain=True)) is not None:
+            out.append(event)
         return out
 
 
+def _frames(rows: pd.DataFrame):
+    inside = rows["inside"].tolist() if "inside" in rows else [None] * len(rows)
+    return zip(rows["frame"].tolist(), rows["tag"].tolist(), inside, strict=True)
+
+
 def replay(tags: DataFrame, config: Config) -> DataFrame:
-    """Commits of whole streams from (stream_id, frame, tag); frames count from 0 without holes."""
+    """Commits of whole streams from (stream_id, frame, tag, inside); frames count from 0 without holes.
+
+    ``inside``, how likely a frame is inside a unit, decides where a full buffer is cut; without it the tag does.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         machine, out = Machine(config), []
-        for tag in frame.sort_values("frame")["tag"].tolist():
-            out += machine.push(tag)
+        for _, tag, inside in _frames(frame.sort_values("frame")):
+            out += machine.push(tag, inside)
         out += machine.end()
         stream = int(frame["stream_id"].iloc[0])
-        return pd.DataFrame([(stream, *row) for row in out], columns=["stream_id", "start_frame", "end_frame", "commit_frame", "partial"])
+        return pd.DataFrame([(stream, *row) for row in out], columns=COLUMNS)
 
     return tags.groupBy("stream_id").applyInPandas(run, SCHEMA)
 
@@ -155,11 +218,11 @@ def stream_commits(tags: DataFrame, config: Config) -> DataFrame:
         machine = pickle.loads(state.get[0]) if state.exists else Machine(config)
         rows = pd.concat(list(frames)).sort_values("frame")
         out = []
-        for frame, tag in zip(rows["frame"].tolist(), rows["tag"].tolist(), strict=True):
-            if frame >= machine.first + len(machine.tags):
-                out += machine.push(tag)
+        for frame, tag, inside in _frames(rows):
+            if frame >= machine.now:
+                out += machine.push(tag, inside)
         state.update((pickle.dumps(machine),))
-        yield pd.DataFrame([(int(key[0]), *row) for row in out], columns=["stream_id", "start_frame", "end_frame", "commit_frame", "partial"])
+        yield pd.DataFrame([(int(key[0]), *row) for row in out], columns=COLUMNS)
 
     grouped = tags.groupBy("stream_id")
     return grouped.applyInPandasWithState(run, SCHEMA, "machine binary", "append", "NoTimeout")

@@ -6,6 +6,7 @@ Everything is windows over one track, so one shuffle by track serves all policie
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,3 +194,58 @@ def lagging(screens: DataFrame, units: DataFrame) -> DataFrame:
     ranks = F.col("n") * F.col("was") + F.col("n") * (F.col("n") - 1) / 2
     per = used.groupBy("track", "policy").agg(F.sum(F.col("n") * F.col("delay") - F.col("rate") * ranks).alias("total"), F.sum("n").alias("tau"))
     return per.select("track", "policy", (F.col("total") / F.col("tau") / 1000).alias("laal_s"))
+
+
+def group_tracks(trace: DataFrame) -> DataFrame:
+    """Give every hypothesis of a stream its sentence, ``track``: a number in order of the tracks' first hypotheses.
+
+    ``trace`` has stream_id, seq, at_ms, track_id (the gate's, null for none), start_frame, delta_frames, committed and
+    open_span.  Closed hypotheses of one id make a track until one of them commits; one without an id is its own.  An open
+    one joins the track that started nearest to it, at most delta frames away, and goes on after it, but not that of
+    another unit which the same pass closed; without one it joins or makes a track of open hypotheses.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in trace.schema}
+    schema = ", ".join([f"{n} {t}" for n, t in fields.items()] + ["track long"])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq").reset_index(drop=True)
+        owner: list[int] = [-1] * len(rows)
+        starts: list[int] = []
+        last: list[int] = []
+        running: dict[int, int] = {}
+        hyps = list(rows[["at_ms", "track_id", "start_frame", "delta_frames", "committed", "open_span"]].itertuples(index=False, name="Hypothesis"))
+
+        def put(i: int, track: int | None) -> int:
+            if track is None:
+                track = len(starts)
+                starts.append(int(hyps[i].start_frame))
+                last.append(i)
+            owner[i], last[track] = track, i
+            return track
+
+        for i, h in enumerate(hyps):
+            if h.open_span:
+                continue
+            named = not pd.isna(h.track_id)
+            at = put(i, running.get(int(h.track_id)) if named else None)
+            if named:
+                running[int(h.track_id)] = at
+                if h.committed:
+                    del running[int(h.track_id)]
+        closed, ends = len(starts), list(last)
+        for i, h in enumerate(hyps):
+            if not h.open_span:
+                continue
+            near = lambda k, h=h: abs(starts[k] - int(h.start_frame))
+            within = lambda ks, near=near, h=h: min((k for k in ks if near(k) <= int(h.delta_frames)), key=near, default=None)
+            other = None
+            if i + 1 < len(hyps) and not hyps[i + 1].open_span and hyps[i + 1].at_ms == h.at_ms and hyps[i + 1].start_frame != h.start_frame:
+                other = owner[i + 1]
+            found = within([k for k in range(closed) if ends[k] > i and k != other])
+            put(i, within(range(closed, len(starts))) if found is None else found)
+        order: dict[int, int] = {}
+        for k in owner:
+            order.setdefault(k, len(order))
+        return rows.assign(track=[order[k] for k in owner])
+
+    return trace.groupBy("stream_id").applyInPandas(run, schema)
