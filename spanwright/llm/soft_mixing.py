@@ -5,7 +5,9 @@ minimise the squared distance between expected domain token totals, sum over doc
 r * tokens * posterior, and their targets.  Projected gradient descent does this without ever holding the rates: in
 the metric that weighs documents by their tokens a step subtracts posterior . residual, the same numbers for all
 documents, and cuts at zero; so a document's rate follows from its posterior and the short list of residuals so
-far.  A step is one pass over (tokens, posterior) that sends a few sums to the driver.
+far.  A step is one pass over (tokens, posterior) that sends a few sums to the driver.  Where ``STEPS`` of these leave the
+targets unmet, as with rare domains, Newton's method on the dual problem, of one number for each domain, finds one last
+step that meets them.  Targets that no rates meet are approached as far as can be, with a warning that says how far.
 
 The classifier is naive Bayes over hashed words, tempered on a part of the sample that did not count: without that the
 posteriors of long texts would all be 0 or 1.  The fit reads at most ``rows_per_domain`` labelled rows of each domain,
@@ -17,6 +19,7 @@ left out of the fit.  Repeated rows each have a rate.  Without labelled rows the
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -31,6 +34,9 @@ from spanwright.llm.linear_text import BITS, hashed_words, labelled_sample
 MOST_DOMAINS = 64
 STEPS = 80
 TOLERANCE = 1e-4
+LAST_STEPS = 200
+#: Weight of the last step's own length, so that it is finite where targets are out of reach.
+RIDGE = 1e-8
 
 
 @dataclass(frozen=True)
@@ -137,8 +143,47 @@ def rate_of_text(text: Column, model: DomainModel, mixture: Mixture) -> Column:
     return of(text)
 
 
-def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: np.ndarray, steps: int = STEPS) -> Mixture:
-    """``members`` has n_tokens and p0, p1, ...; ``targets`` are token totals, one for each domain."""
+def _last_step(members: DataFrame, residuals: np.ndarray, goal: np.ndarray, total: float) -> np.ndarray:
+    """The step after which the rates are the nearest ones, by tokens, that meet the goal, or come closest to it."""
+    d = len(goal)
+
+    def value(step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def sums(batches):
+            for frame in batches:
+                p, tokens = frame[[f"p{k}" for k in range(d)]].to_numpy(), frame["n_tokens"].to_numpy(float)
+                rate = _rates(p, residuals) - p @ step
+                mass, on = np.maximum(rate, 0) * tokens, np.where(rate > 0, tokens, 0)
+                parts = [[mass @ np.maximum(rate, 0) / 2], mass @ p, ((p * on[:, None]).T @ p).ravel()]
+                yield pd.DataFrame({"sums": [np.concatenate(parts)]})
+
+        local = members.select("n_tokens", *[f"p{k}" for k in range(d)]).mapInPandas(sums, "sums array<double>")
+        summed = local.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+        got = np.zeros(1 + d + d * d)
+        got[summed["at"].to_numpy(int)] = summed["x"].to_numpy() / total
+        f = got[0] + goal @ step + RIDGE / 2 * step @ step
+        return f, got[1 : 1 + d] - goal - RIDGE * step, got[1 + d :].reshape(d, d)
+
+    step = np.zeros(d)
+    f, down, curve = value(step)
+    for _ in range(LAST_STEPS):
+        if np.abs(down).max() <= TOLERANCE / 2:
+            return step
+        way = np.linalg.solve(curve + RIDGE * np.eye(d), down)
+        part = 1.0
+        new = value(step + way)
+        while new[0] > f - 1e-4 * part * (way @ down) + 1e-12 * (1 + abs(f)) and part > 1e-9:
+            part /= 2
+            new = value(step + part * way)
+        step = step + part * way
+        f, down, curve = new
+    raise RuntimeError(f"rates not found after {STEPS} steps and {LAST_STEPS} more; the shares still differ by {np.abs(down).max():.2g}")
+
+
+def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: np.ndarray, steps: int | None = None) -> Mixture:
+    """``members`` has n_tokens and p0, p1, ...; ``targets`` are token totals, one for each domain.
+
+    With ``steps`` only so many gradient steps are done, met or not; ``reached`` says how far they came.
+    """
     d = len(domains)
     columns = [F.col(f"p{k}") for k in range(d)]
     weigh = lambda x: F.coalesce(F.sum(F.col("n_tokens") * x), F.lit(0.0))
@@ -165,12 +210,18 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: np.ndarray,
         return np.array(got, float) / total
 
     now = reached()
-    for _ in range(steps):
+    for _ in range(STEPS if steps is None else steps):
         gap = now - goal
         if np.abs(gap).max() <= TOLERANCE:
             break
         residuals = np.vstack([residuals, pace * gap])
         now = reached()
+    if steps is None and np.abs(now - goal).max() > TOLERANCE:
+        residuals = np.vstack([residuals, _last_step(members, residuals, goal, total)])
+        now = reached()
+        if np.abs(now - goal).max() > TOLERANCE:
+            far = ", ".join(f"{n} {a * total:.0f} of {g * total:.0f}" for n, a, g in zip(domains, now, goal))
+            warnings.warn(f"no rates meet the targets; tokens reached: {far}", stacklevel=2)
     return Mixture(domains, np.asarray(targets, float), now * total, residuals)
 
 
