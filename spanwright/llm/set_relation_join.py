@@ -332,8 +332,21 @@ def exact_links(cells: DataFrame, documents: DataFrame, width: int, percent: int
     return rows.groupBy("cell", "a", "b").applyInPandas(run, "u long, v long")
 
 
-def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row."""
+def set_digest(text, width: int):
+    """The hash of a text's set as a column, empty for the empty set, as in :func:`jaccard_classes`."""
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        import xxhash
+
+        made = [shingles(t, width) for t in texts]
+        return pd.Series([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in made])
+
+    return of(text)
+
+
+def jaccard_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and the digest of the set for every row."""
     table = written(prefixes(documents, sketch(documents, width), width, percent), "prefixes")
     classes = table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
@@ -349,4 +362,9 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     )
     joined = table.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("own"), "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "digest")
+
+
+def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row."""
+    return jaccard_classes(documents, width, percent).select("doc_id", "n_shingles", "component_id")
