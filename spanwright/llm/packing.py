@@ -6,8 +6,9 @@ tree as items of their own (their content stays together): at each level ``FAN_I
 best fit again, and at the root whatever is left is packed and emitted.  Only lengths travel up the tree,
 never ids.
 
-A node takes at most ``NODE_ITEMS`` items; if more are left (say, when every item is longer than half a sequence, so that
-nothing can be joined) there are more nodes, and the tree ends when a level joins nothing.
+A node takes at most ``NODE_ITEMS`` items.  Where more are left than one node takes, the levels go on with as many nodes as they
+need and the bins are dealt among them anew, so that others meet; such levels end when one has joined fewer than
+``WORTH_A_LEVEL`` of its bins.
 
 Defined results: a null text is empty and still gives one piece, the end mark.  Repeated rows are
 packed as often as they occur.  A null doc_id is carried along.
@@ -32,6 +33,7 @@ NEARLY_FULL = 0.99
 FAN_IN = 8
 NODE_ITEMS = 200_000
 CACHED_WORDS = 800_000
+WORTH_A_LEVEL = 0.001
 END_ID = b"\x00\x00\x00\x00"
 
 
@@ -221,13 +223,12 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, ne
     while left > 1:
         level += 1
         nodes_before, nodes = nodes, max(math.ceil(nodes / FAN_IN), math.ceil(left / NODE_ITEMS))
-        if nodes_before > 1 and nodes == nodes_before:
-            break
-        items = items.withColumn("node", (F.col("node") % nodes).cast("long"))
-        made = written(_merge_level(items, level, capacity), "merged")
+        again = F.pmod(F.xxhash64(F.lit(level), "bin"), F.lit(nodes)) if nodes == nodes_before else F.col("node") % nodes
+        made = written(_merge_level(items.withColumn("node", again.cast("long")), level, capacity), "merged")
         step = made.select("bin", "into", "into_offset")
         if moved is None:
             moved = step
+            moved = written(moved, "moved")
         else:
             step = step.select(F.col("bin").alias("into"), F.col("into").alias("then"), F.col("into_offset").alias("more"))
             moved = moved.join(step, "into", "left").select(
@@ -237,10 +238,12 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, ne
             )
         if nodes == 1:
             break
-        items = made.where((F.col("into_offset") == 0) & (F.col("into_fill") < enough)).select(
-            F.col("into").alias("bin"), F.col("into_fill").alias("fill"), "node"
-        )
-        left = items.count()
+        bins = made.where("into_offset = 0")
+        items = bins.where(F.col("into_fill") < enough).select(F.col("into").alias("bin"), F.col("into_fill").alias("fill"), "node")
+        count, open_ = bins.agg(F.count("*"), F.count_if(F.col("into_fill") < enough)).first()
+        if nodes == nodes_before and left - count < WORTH_A_LEVEL * left:
+            break
+        left = open_
     out = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "bin", "bin_offset")
     if moved is None:
         return out.withColumnsRenamed({"bin": "sequence_id", "bin_offset": "offset"})
