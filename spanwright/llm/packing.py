@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import zlib
 from array import array
-from itertools import filterfalse, islice
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,20 @@ NODE_ITEMS = 200_000
 CACHED_WORDS = 800_000
 WORTH_A_LEVEL = 0.001
 END_ID = b"\x00\x00\x00\x00"
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+class _Words(dict):
+    """Token ids of words; a word that is not there yet is learned when it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
 
 
 class WordTokenizer:
@@ -43,8 +57,9 @@ class WordTokenizer:
     The vocabulary's rules lower the case and never let a token cross white space, so ids of a text are the
     ids of its words one after the other.  Texts that may hold a special token's string are encoded whole.
 
-    A word of letters is one unit to the vocabulary, so its new tokens come straight from the merge rules; only
-    other words go through the whole chain of rules.
+    A run of letters is one unit to the vocabulary, and so is a run of ASCII marks; a word that is either, or letters and then
+    marks, gets its tokens straight from the merge rules.  That holds for letters below U+0250 only: others may
+    decompose, or hide marks that join those behind them.  All other words go through the whole chain of rules.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
@@ -53,58 +68,36 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.most = cached_words
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Words(self._learn)
         # the vocabulary names bytes by printable characters: those that print stand for themselves, the others follow from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.byte_names = {b: 256 + i for i, b in enumerate(rest)}
 
-    def _learn(self, words: set[bytes]) -> None:
-        known, merge, other = self.known, self.merge, []
-        for word in words:
-            # letters below U+0250 are in normal form already, and all but U+0130 have one lower-case letter
-            text = word.decode("utf-8", "replace")
-            if text.isascii():
-                if text.isalpha():
-                    known[word] = array("I", [t.id for t in merge(text)]).tobytes()
-                    continue
-            elif text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
-                named = text.lower().encode().decode("latin-1").translate(self.byte_names)
-                known[word] = array("I", [t.id for t in merge(named)]).tobytes()
-                continue
-            other.append(word)
-        if other:
-            texts = [w.decode("utf-8", "replace") for w in other]
-            for word, one in zip(other, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                known[word] = array("I", one.ids).tobytes()
+    def _learn(self, word: bytes) -> bytes:
+        if word.isalpha() or not word.rstrip(MARKS):  # ASCII letters alone, or marks alone
+            return array("I", [t.id for t in self.merge(word.decode())]).tobytes()
+        stem = word.rstrip(MARKS)
+        text = stem.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+            if len(stem) < len(word):
+                return self.known[stem] + self.known[word[len(stem) :]]
+            named = text.lower().encode().decode("latin-1").translate(self.byte_names)
+            return array("I", [t.id for t in self.merge(named)]).tobytes()
+        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
+        if len(self.known) > self.most:  # those met first are the frequent ones
+            kept = _Words(self._learn)
+            kept.update(islice(self.known.items(), self.most // 2))
+            self.known = kept
+        ids_of, out = self.known.__getitem__, []
         for text in texts:
             text = text or ""
-            split.append(None if "<|" in text else text.encode("utf-8", "replace").lower().split())
-        if len(self.known) > self.most:  # those met first are the frequent ones
-            self.known = dict(islice(self.known.items(), self.most // 2))
-        known = self.known
-        missing: set[bytes] = set()
-        for words in split:
-            if words:
-                missing.update(filterfalse(known.__contains__, words))
-        # letters with a full stop or comma at the end are that word and then the mark
-        marked = [w for w in missing if w[-1:] in (b".", b",") and w[:-1].decode("utf-8", "replace").isalpha()]
-        new = missing.difference(marked)
-        if marked:
-            new.update(w[:-1] for w in marked)
-            new.update((b".", b","))
-        self._learn({word for word in new if word not in known})
-        for word in marked:
-            known[word] = known[word[:-1]] + known[word[-1:]]
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(array("I", self.tokenizer.encode(text or "", add_special_tokens=False).ids).tobytes())
+            if "<|" in text:
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                out.append(b"".join(map(known.__getitem__, words)))
+                out.append(b"".join(map(ids_of, text.encode("utf-8", "replace").lower().split())))
         return out
 
 
@@ -228,7 +221,6 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, ne
         step = made.select("bin", "into", "into_offset")
         if moved is None:
             moved = step
-            moved = written(moved, "moved")
         else:
             step = step.select(F.col("bin").alias("into"), F.col("into").alias("then"), F.col("into_offset").alias("more"))
             moved = moved.join(step, "into", "left").select(
@@ -236,6 +228,7 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, ne
                 F.coalesce("then", "into").alias("into"),
                 (F.col("into_offset") + F.coalesce("more", F.lit(0))).alias("into_offset"),
             )
+            moved = written(moved, "moved")
         if nodes == 1:
             break
         bins = made.where("into_offset = 0")
