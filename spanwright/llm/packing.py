@@ -32,7 +32,7 @@ CAPACITY = 2048
 NEARLY_FULL = 0.99
 FAN_IN = 8
 NODE_ITEMS = 200_000
-CACHED_WORDS = 800_000
+CACHED_WORDS = 400_000
 WORTH_A_LEVEL = 0.001
 END_ID = b"\x00\x00\x00\x00"
 #: ASCII characters that are neither letters, digits nor white space.

@@ -9,14 +9,20 @@ up: the relations between sets stand in for the pairs.
    ordered from rare to common.  Two sets that link share a shingle among the first
    n - ceil(percent * n / 100) + 1 of either: these prefixes are the index lists.  Any order is exact; this
    one keeps passages that many documents share out of the lists.
-3. *Lists* are read in order of set size.  An entry skips whole blocks of the list by size, and by the position of the
+3. *Hot groups.*  Sets are put in buckets by ``MINIMA`` least hashes each.  Where a bucket has over ``HOT_ROWS`` sets each is compared
+   with the bucket's first one, in one linear pass; those that link get a common label.  Sets of one label are
+   known to be connected, so from here on no two of them are ever compared.
+4. *Lists* are read in order of set size.  An entry skips whole blocks of the list by size, and by the position of the
    shingle in either set, which bounds what can still be shared.  The surviving pairs must fit the sets' parity
    bitmaps, whose differing bits never outnumber the differing shingles.  Of the pairs of a list only a forest is kept.
-4. *Cells* are the components of these forests, and contain all links.  In a cell the shared counts of one set with all
+5. *Cells* are the components of these forests, and contain all links.  In a cell the shared counts of one set with all
    others come from an inverted index; those of a set similar to it are derived from them, by the
-   shingles in which the two differ.  The counts are exact, and so are the links.
-   A cell of over ``CELL_ROWS`` sets is dealt out as pairs of blocks, with each block's forest joined at the end.
-   A list that the sketch says may be longer than ``LIST_ROWS`` is dealt out in the same way.
+   shingles in which the two differ.  The counts are exact, and so are the links.  A cell is left once all its sets are joined.
+
+A list of over ``LIST_ROWS`` entries, counted exactly, and a cell of over ``CELL_ROWS`` sets are dealt out.  The sets of the commonest
+label are cut into blocks that never meet each other; each meets the blocks of the other sets, and those meet
+one another.  With one large group of near copies that is linear in the group; only for sets that no label joins it is
+quadratic, in blocks.
 
 Defined results: null text, and text without words, has the empty set and links with nothing; fewer than ``width`` words
 make one shingle.  A row without doc_id takes the component of its equal sets, null if none of them has
@@ -38,8 +44,10 @@ PERCENT = 90
 SKETCH = 1 << 20
 SKETCH_PARTS = 64
 BITMAP_WORDS = 8
-LIST_ROWS = 8192
-CELL_ROWS = 4096
+MINIMA = 3
+HOT_ROWS = 256
+LIST_ROWS = 1024
+CELL_ROWS = 512
 BLOCK = 64
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -93,8 +101,10 @@ def sketch(documents: DataFrame, width: int) -> np.ndarray:
 
         counts = np.zeros(SKETCH, np.int64)
         for frame in batches:
-            for text in frame["text"]:
-                np.add.at(counts, (shingles(text, width) % np.uint64(SKETCH)).astype(np.int64), 1)
+            texts = frame["text"].tolist()
+            for at in range(0, len(texts), 500):
+                found = np.concatenate([shingles(t, width) for t in texts[at : at + 500]])
+                counts += np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         if counts.any():
             pieces = counts.astype(np.int32).reshape(SKETCH_PARTS, -1)
             yield pd.DataFrame(
@@ -119,8 +129,14 @@ def sketch(documents: DataFrame, width: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def least_hashes(tokens: np.ndarray) -> list[int]:
+    """The least of all tokens under ``MINIMA`` orders: similar sets share most of them."""
+    seeds = _mixed(np.arange(1, MINIMA + 1, dtype=np.uint64))
+    return [int(_mixed(tokens ^ seed).min().astype(np.int64)) for seed in seeds] if len(tokens) else []
+
+
 def prefixes(documents: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, set size, set hash, bitmap and the rare end of the set, of every row."""
+    """doc_id, set size, set hash, bitmap, least hashes and the rare end of the set, of every row."""
     common = documents.sparkSession.sparkContext.broadcast(counts)  # SKETCH numbers of four bytes
 
     def run(batches):
@@ -134,15 +150,86 @@ def prefixes(documents: DataFrame, counts: np.ndarray, width: int, percent: int)
                 n = len(tokens)
                 first = n + (-percent * n) // 100 + 1 if n else 0
                 seen = counts[(tokens % np.uint64(SKETCH)).astype(np.int64)]
-                order = np.lexsort((_mixed(tokens), seen))[:first]
+                # by count, then by hash, then by token: the same order in every set
+                rank = (np.minimum(seen, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (_mixed(tokens) >> np.uint64(24))
+                order = np.argsort(rank, kind="stable")[:first]
                 digest = xxhash.xxh3_128_digest(tokens.tobytes()) if n else b""
-                rows.append((key, n, digest, parity_bitmap(tokens), tokens[order].view(np.int64), seen[order]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "bitmap", "tokens", "seen"]).astype({"doc_id": "Int64"})
+                minima = least_hashes(tokens)
+                rows.append((key, n, digest, parity_bitmap(tokens), minima, tokens[order].view(np.int64), seen[order]))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "bitmap", "minima", "tokens", "seen"]).astype({"doc_id": "Int64"})
 
-    kind = "doc_id long, n int, digest binary, bitmap binary, tokens array<long>, seen array<int>"
+    kind = "doc_id long, n int, digest binary, bitmap binary, minima array<long>, tokens array<long>, seen array<int>"
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, kind)
 
 
+def sets_of(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(rep, tokens as bytes) of the documents whose doc_id is among the column ``rep`` of ``ids``, and of a few others."""
+
+    def run(batches):
+        for frame in batches:
+            made = [shingles(t, width).tobytes() for t in frame["text"]]
+            yield pd.DataFrame({"rep": frame["rep"], "tokens": made})
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null")
+    return texts.where(id_filter(ids, "rep")(F.col("rep"))).mapInPandas(run, "rep long, tokens binary").where("length(tokens) > 0")
+
+
+def hot_links(classes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v) links between the sets of a hot bucket and its first set, in one pass over the bucket."""
+    keys = classes.select("rep", F.posexplode("minima").alias("which", "key"))
+    hot = keys.groupBy("which", "key").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where(F.col("size") > HOT_ROWS)
+    hot = written(hot.select("which", "key", "leader"), "hot-buckets")
+    asked = keys.join(hot, ["which", "key"]).where("rep != leader").select("rep", "leader").distinct()
+    asked = written(asked, "hot-members")
+    wanted = asked.select("rep").union(asked.select("leader"))
+    sets = written(sets_of(documents, wanted, width), "hot-sets")
+
+    def linked(batches):
+        for frame in batches:
+            keep = np.zeros(len(frame), bool)
+            for k, (x, y) in enumerate(zip(frame["tokens"], frame["other"], strict=True)):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                least = least_shared(len(a) + len(b), percent)
+                keep[k] = min(len(a), len(b)) >= least and len(np.intersect1d(a, b, assume_unique=True)) >= least
+            yield frame.loc[keep, ["u", "v"]]
+
+    leaders = sets.select(F.col("rep").alias("leader"), F.col("tokens").alias("other"))
+    pairs = asked.join(sets, "rep").join(leaders, "leader").select(F.col("rep").alias("u"), F.col("leader").alias("v"), "tokens", "other")
+    return pairs.mapInPandas(linked, "u long, v long")
+
+
+def deal(rows: DataFrame, key: str, most: int, doubtful=None) -> DataFrame:
+    """``rows`` (key, rep, label, ...) with the pair of blocks a, b in which each is to be met, and its own ``block``.
+
+    Groups of at most ``most`` rows, and rows that are not ``doubtful``, are one block.  Of a larger group the rows of the commonest
+    label are blocks -1, -2, ... that meet the others' blocks 0, 1, ... only; without others nothing is left to compare.
+    """
+    doubtful = F.lit(True) if doubtful is None else doubtful
+    by_label = rows.where(doubtful).groupBy(key, "label").count().groupBy(key)
+    large = by_label.agg(F.sum("count").alias("total"), F.max(F.struct("count", "label")).alias("top")).where(F.col("total") > most)
+    blocks = lambda c: F.ceil(c / F.lit(most)).cast("int")
+    large = large.select(
+        key,
+        F.col("top.label").alias("top_label"),
+        blocks(F.col("top.count")).alias("n_top"),
+        blocks(F.col("total") - F.col("top.count")).alias("n_other"),
+    )
+    large = written(large, "large")
+    place = lambda n: F.pmod(F.xxhash64(F.lit("block"), "rep"), F.greatest(n, F.lit(1))).cast("int")
+    kept = rows.columns
+    simple = rows.where(~doubtful)
+    placed = rows.where(doubtful).join(large, key, "left")
+    small = simple.unionByName(placed.where("n_other is null").select(kept))
+    small = small.withColumns({"a": F.lit(0), "b": F.lit(0), "block": F.lit(0)})
+    split = placed.where("n_other > 0")
+    own = F.when(F.col("label") == F.col("top_label"), -1 - place(F.col("n_top"))).otherwise(place(F.col("n_other")))
+    split = split.withColumn("block", own)
+    tops = F.when(F.col("block") < 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), "n_top"), lambda k: -k))
+    split = split.withColumn("other", F.explode(F.concat(tops, F.sequence(F.lit(0), F.col("n_other") - 1))))
+    split = split.withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")})
+    return small.unionByName(split.select(small.columns))
+
+
 def _runs(keys: list[np.ndarray]):
     """Start and end of the runs of equal keys in arrays that are sorted by them."""
     n = len(keys[0])
@@ -169,7 +256,7 @@ def _by_list(batches):
         yield kept
 
 
-def _candidates(n, pos, block, crossing: bool, percent: int):
+def _candidates(n, pos, block, label, crossing: bool, percent: int):
     """Pairs (i, j) of one list, in order of set size, that size and position allow; by entry and block."""
     m = len(n)
     left = n - pos  # what may still be shared from the common shingle on
@@ -188,6 +275,7 @@ def _candidates(n, pos, block, crossing: bool, percent: int):
             s, e = max(i + 1, k * BLOCK), min(end, (k + 1) * BLOCK)
             j = np.arange(s, e)
             fit = np.minimum(left[i], left[s:e]) >= least_shared(n[i] + n[s:e], percent)
+            fit &= label[s:e] != label[i]
             if crossing:
                 fit &= block[s:e] != block[i]
             if fit.any():
@@ -201,30 +289,30 @@ def _lists(members: DataFrame, percent: int, bitmaps: bool) -> DataFrame:
         for frame in _by_list(batches):
             keep = np.zeros(len(frame), bool)
             cols = [frame[c].to_numpy() for c in ("token", "a", "b")]
-            n, pos, block = (frame[c].to_numpy(np.int64) for c in ("n", "pos", "block"))
+            n, pos, block, label = (frame[c].to_numpy(np.int64) for c in ("n", "pos", "block", "label"))
             for s, e in zip(*_runs(cols)):
                 if e - s > 1:
                     crossing = cols[1][s] != cols[2][s]
                     if e - s == 2 and not crossing:
-                        keep[s:e] = n[s] * 100 >= percent * n[s + 1]
+                        keep[s:e] = n[s] * 100 >= percent * n[s + 1] and label[s] != label[s + 1]
                         continue
-                    for i, j in _candidates(n[s:e], pos[s:e], block[s:e], crossing, percent):
+                    for i, j in _candidates(n[s:e], pos[s:e], block[s:e], label[s:e], crossing, percent):
                         keep[s + i] = True
                         keep[s + j] = True
             if keep.any():
-                yield frame[keep]
+                yield frame.loc[keep, ["token", "a", "b", "rep", "label", "n", "pos", "block"]]
 
     def forests(batches):
         for frame in _by_list(batches):
             cols = [frame[c].to_numpy() for c in ("token", "a", "b")]
-            n, pos, block, rep = (frame[c].to_numpy(np.int64) for c in ("n", "pos", "block", "rep"))
+            n, pos, block, rep, label = (frame[c].to_numpy(np.int64) for c in ("n", "pos", "block", "rep", "label"))
             bits = np.frombuffer(b"".join(frame["bitmap"]), np.uint64).reshape(len(frame), -1)
             us, vs = [], []
             for s, e in zip(*_runs(cols)):
                 if e - s < 2:
                     continue
                 forest = Forest()
-                for i, j in _candidates(n[s:e], pos[s:e], block[s:e], cols[1][s] != cols[2][s], percent):
+                for i, j in _candidates(n[s:e], pos[s:e], block[s:e], label[s:e], cols[1][s] != cols[2][s], percent):
                     size = n[s + i] + n[s + j]
                     fit = popcount(bits[s + j] ^ bits[s + i]) <= size - 2 * least_shared(size, percent)
                     for x in j[fit].tolist():
@@ -236,7 +324,7 @@ def _lists(members: DataFrame, percent: int, bitmaps: bool) -> DataFrame:
 
     if bitmaps:
         return members.mapInPandas(forests, "u long, v long")
-    return members.mapInPandas(survivors, "token long, a int, b int, rep long, n int, pos int, block int")
+    return members.mapInPandas(survivors, "token long, a int, b int, rep long, label long, n int, pos int, block int")
 
 
 def _sorted_lists(entries: DataFrame) -> DataFrame:
@@ -244,26 +332,21 @@ def _sorted_lists(entries: DataFrame) -> DataFrame:
 
 
 def candidate_forest(classes: DataFrame, percent: int) -> DataFrame:
-    """(u, v) pairs of classes whose components contain every link."""
-    entry = classes.select("rep", "n", F.posexplode(F.arrays_zip("tokens", "seen")).alias("pos", "t"))
-    blocks = F.ceil(F.col("t.seen") / F.lit(LIST_ROWS)).cast("int")
-    entry = entry.select("rep", "n", "pos", F.col("t.tokens").alias("token"), blocks.alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    entry = entry.withColumn("block", F.when(F.col("blocks") > 1, own).otherwise(0))
-    short = entry.where("blocks <= 1").select("token", F.lit(0).alias("a"), F.lit(0).alias("b"), "rep", "n", "pos", "block")
-    # each block of a long list meets every other block and itself
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    long = entry.where("blocks > 1").withColumn("other", other)
-    long = long.select("token", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "rep", "n", "pos", "block")
-    kept = _lists(_sorted_lists(short.union(long)), percent, bitmaps=False)
+    """(u, v) pairs of classes whose components contain every link that the labels do not know of."""
+    entry = classes.select("rep", "label", "n", F.posexplode(F.arrays_zip("tokens", "seen")).alias("pos", "t"))
+    entry = entry.select("rep", "label", "n", "pos", F.col("t.tokens").alias("token"), F.col("t.seen").alias("seen"))
+    # the sketch never counts too little, so only lists that it calls long are counted
+    dealt = deal(entry, "token", LIST_ROWS, F.col("seen") > LIST_ROWS).select("token", "a", "b", "rep", "label", "n", "pos", "block")
+    kept = _lists(_sorted_lists(dealt), percent, bitmaps=False)
     with_bits = kept.join(classes.select("rep", "bitmap"), "rep")
     return _lists(_sorted_lists(with_bits), percent, bitmaps=True)
 
 
-def _links_of_cell(sets: list[np.ndarray], percent: int, crossing: np.ndarray | None):
+def _links_of_cell(sets: list[np.ndarray], percent: int, crossing: np.ndarray | None, label: np.ndarray | None = None):
     """Forest and link counts among sets, by an inverted index and by deriving counts from a similar set's.
 
-    ``crossing`` numbers the block of each set; only pairs of different blocks count then.
+    ``crossing`` numbers the block of each set; only pairs of different blocks count then.  With ``label`` sets of one label are
+    joined from the start, those of the commonest one are not asked about, and it ends when all are joined, with counts so far.
     """
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
@@ -279,8 +362,13 @@ def _links_of_cell(sets: list[np.ndarray], percent: int, crossing: np.ndarray |
         return np.bincount(np.concatenate(pieces), minlength=m) if pieces else np.zeros(m, np.int64)
 
     forest, degree = Forest(), np.zeros(m, np.int64)
-    waiting = set(range(m))
-    while waiting:
+    waiting, apart = set(range(m)), m
+    if label is not None:
+        _, first, group, sizes = np.unique(label, return_index=True, return_inverse=True, return_counts=True)
+        for x in np.flatnonzero(np.arange(m) != first[group]).tolist():
+            apart -= forest.join(x, int(first[group[x]]))
+        waiting = set(np.flatnonzero(group != np.argmax(sizes)).tolist())
+    while waiting and apart > 1:
         pivot = min(waiting)
         counts = shared(sets[pivot])
         # sets that share most of their shingles with the pivot derive their counts from its counts
@@ -298,35 +386,25 @@ def _links_of_cell(sets: list[np.ndarray], percent: int, crossing: np.ndarray |
             linked = np.flatnonzero(link)
             degree[x] = len(linked)
             for y in linked.tolist():
-                forest.join(x, y)
+                joined = forest.join(x, y)
+                apart -= joined and label is not None
             waiting.discard(x)
     return forest, degree
 
 
 def exact_links(cells: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v) edges with the components of the exact links within cells."""
-    sizes = cells.groupBy("cell").count()
-    placed = cells.join(sizes, "cell").withColumn("blocks", F.ceil(2 * F.col("count") / CELL_ROWS).cast("int"))
-    placed = placed.withColumn("blocks", F.when(F.col("count") <= CELL_ROWS, 1).otherwise(F.col("blocks")))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    wanted = id_filter(cells, "rep")
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null")
-    texts = texts.where(wanted(F.col("rep")))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "rep", "cell", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block"
-    )
-    # a cell of one block has one copy of each text; the pair (a, a) of a larger one joins the block with itself
-    rows = texts.join(dealt, "rep")
+    """(u, v) edges with the components of the exact links within cells (rep, cell, label)."""
+    sets = written(sets_of(documents, cells, width), "cell-sets")
+    rows = sets.join(deal(cells, "cell", CELL_ROWS), "rep")
 
     def run(key, frame):
-        sets = [shingles(t, width) for t in frame["text"]]
-        rep, block = frame["rep"].to_numpy(np.int64), frame["block"].to_numpy()
-        full = [k for k, s in enumerate(sets) if len(s)]
-        if len(full) < 2:
+        sets = [np.frombuffer(t, np.uint64) for t in frame["tokens"]]
+        rep = frame["rep"].to_numpy(np.int64)
+        if len(sets) < 2:
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        crossing = block[full] if key[1] != key[2] else None
-        forest, _ = _links_of_cell([sets[k] for k in full], percent, crossing)
-        pairs = [(rep[full[x]], rep[full[forest.root(x)]]) for x in forest.parent]
+        crossing = frame["block"].to_numpy() if key[1] != key[2] else None
+        forest, _ = _links_of_cell(sets, percent, crossing, frame["label"].to_numpy(np.int64))
+        pairs = [(rep[x], rep[forest.root(x)]) for x in forest.parent]
         return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["u", "v"], dtype="int64")
 
     return rows.groupBy("cell", "a", "b").applyInPandas(run, "u long, v long")
@@ -352,10 +430,16 @@ def jaccard_classes(documents: DataFrame, width: int = WIDTH, percent: int = PER
     classes = written(classes, "classes")
     known = classes.where("rep is not null").select(F.col("rep"), F.col("digest").alias("own"))
     firsts = table.join(known, (table["doc_id"] == known["rep"]) & (table["digest"] == known["own"]))
-    firsts = firsts.dropDuplicates(["rep", "digest"]).select("rep", "n", "bitmap", "tokens", "seen")
-    forest = written(candidate_forest(written(firsts, "firsts"), percent), "forest")
+    firsts = firsts.dropDuplicates(["rep", "digest"]).select("rep", "n", "bitmap", "minima", "tokens", "seen")
+    firsts = written(firsts, "firsts")
+    hot = written(hot_links(firsts, documents, width, percent), "hot-links")
+    labels = written(connected(hot).select(F.col("node").alias("rep"), "component"), "labels")
+    label = F.coalesce("component", "rep").alias("label")
+    labelled = firsts.join(labels, "rep", "left").select("rep", label, "n", "bitmap", "tokens", "seen")
+    forest = written(candidate_forest(labelled, percent).union(hot), "forest")
     cells = connected(forest).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
-    links = written(exact_links(written(cells, "cells"), documents, width, percent), "links")
+    cells = written(cells.join(labels, "rep", "left").select("rep", "cell", label), "cells")
+    links = written(exact_links(cells, documents, width, percent).union(hot), "links")
     found = connected(links)
     named = classes.join(found, classes["rep"] == found["node"], "left").select(
         F.col("digest").alias("own"), F.coalesce("component", "rep").alias("component")

@@ -51,6 +51,23 @@ def test_against_brute_force(spark, monkeypatch, seed, cell_rows, list_rows):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("hot_rows", [4, 20])
+def test_hot_groups_against_brute_force(spark, monkeypatch, hot_rows):
+    for name, value in (("CELL_ROWS", 16), ("LIST_ROWS", 8), ("HOT_ROWS", hot_rows)):
+        monkeypatch.setattr(sr, name, value)
+    rows = corpus(5, n_groups=9, hot=150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sr.jaccard_components(docs).collect()}
+    assert got == brute(rows)
+
+
+def test_one_id_with_two_linked_texts(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, "q r s t")]
+    got = sorted((r.doc_id, r.component_id) for r in sr.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "q r s"), (7, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in sr.jaccard_components(docs).collect()), key=str)
