@@ -47,7 +47,7 @@ BITMAP_WORDS = 8
 MINIMA = 3
 HOT_ROWS = 256
 LIST_ROWS = 1024
-CELL_ROWS = 512
+CELL_ROWS = 256
 BLOCK = 64
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -76,7 +76,8 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     out = np.full(n, width, np.uint64)
     for k in range(width):
         out = _mixed(out * _MULTIPLY + h[k : k + n])
-    return np.unique(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def least_shared(total: np.ndarray | int, percent: int):
@@ -129,10 +130,11 @@ def sketch(documents: DataFrame, width: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def least_hashes(tokens: np.ndarray) -> list[int]:
-    """The least of all tokens under ``MINIMA`` orders: similar sets share most of them."""
-    seeds = _mixed(np.arange(1, MINIMA + 1, dtype=np.uint64))
-    return [int(_mixed(tokens ^ seed).min().astype(np.int64)) for seed in seeds] if len(tokens) else []
+def least_hashes(mixed: np.ndarray) -> list[int]:
+    """The least of a set's mixed tokens under ``MINIMA`` orders (rotations of their bits): similar sets share most of them."""
+    turns = [np.uint64(64 * k // MINIMA) for k in range(MINIMA)]
+    turned = [(mixed << t) | (mixed >> (np.uint64(64) - t)) if t else mixed for t in turns]
+    return [int(x.min().astype(np.int64)) for x in turned] if len(mixed) else []
 
 
 def prefixes(documents: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -151,10 +153,11 @@ def prefixes(documents: DataFrame, counts: np.ndarray, width: int, percent: int)
                 first = n + (-percent * n) // 100 + 1 if n else 0
                 seen = counts[(tokens % np.uint64(SKETCH)).astype(np.int64)]
                 # by count, then by hash, then by token: the same order in every set
-                rank = (np.minimum(seen, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (_mixed(tokens) >> np.uint64(24))
+                mixed = _mixed(tokens)
+                rank = (np.minimum(seen, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (mixed >> np.uint64(24))
                 order = np.argsort(rank, kind="stable")[:first]
                 digest = xxhash.xxh3_128_digest(tokens.tobytes()) if n else b""
-                minima = least_hashes(tokens)
+                minima = least_hashes(mixed)
                 rows.append((key, n, digest, parity_bitmap(tokens), minima, tokens[order].view(np.int64), seen[order]))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "bitmap", "minima", "tokens", "seen"]).astype({"doc_id": "Int64"})
 
