@@ -6,14 +6,17 @@ for each rendered turn: segment ``prompt`` once for both, then ``chosen`` and ``
 order of ``turn``.  The mask is per turn: ``trained`` marks the turns of a completion that the assistant wrote, and of such a
 turn the code points from ``train_from`` on (the content and its end mark, not the role's header).
 
-Where the data name no pairs, :func:`pair_by_id` takes an even conv_id and the next odd one as chosen and rejected, so that every
-conversation is in one pair.  :func:`pair_by_opening` pairs only conversations with an equal first turn, in order
-of id, first within blocks of ids, then those left over; the smaller id is the chosen one.
+Where the data name no pairs, :func:`all_sides` makes them.  Conversations with an equal first turn are alternatives to
+each other (:func:`pair_by_opening`: in order of id, first within blocks of ids, then those left over; the smaller id is the chosen
+one).  For any other conversation the alternative is itself with its last reply exchanged for that of its
+neighbour (an even id and the odd one after it): the reply that belongs is chosen, the foreign one rejected, and all turns before it are the
+prompt.  A conversation that has no reply to exchange is rendered alone, as segment ``single``.  :func:`pair_by_id`
+pairs whole neighbours instead.
 
 Defined results: rows without conv_id belong to no conversation.  Turns are placed by their number, a null one before all
 others; several rows of one turn are compared as a bag and rendered in order of role and text.  A null role or text
 is rendered as empty, and differs from an empty one.  If one conversation of a pair is missing the pair has no prompt and the
-other conversation is its completion.  Where one conversation is the beginning of the other its completion is empty and has no rows.
+other conversation is its completion.  With an exchanged reply equal to the own one all is prompt.  Where one conversation is the beginning of the other its completion is empty and has no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwright.llm.common import written
+
 BLOCK = 1024
 FIRST = -(1 << 63)
 
@@ -55,21 +60,60 @@ def pair_by_opening(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     return near.union(paired(left, ["a", "b"])[0])
 
 
-def format_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rendered turns of the prompt and both completions of every pair."""
-    pairs = pairs.select("chosen_id", "rejected_id")
-    sides = pairs.select("chosen_id", "rejected_id", F.lit("chosen").alias("side"), F.col("chosen_id").alias("of")).union(
-        pairs.select("chosen_id", "rejected_id", F.lit("rejected"), F.col("rejected_id"))
+KEY = ["chosen_id", "rejected_id"]
+
+
+def sides_of(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(chosen_id, rejected_id, side, turn, role, text): the turns of both conversations of every pair."""
+    pairs = pairs.select(*KEY)
+    sides = pairs.select(*KEY, F.lit("chosen").alias("side"), F.col("chosen_id").alias("of")).union(
+        pairs.select(*KEY, F.lit("rejected"), F.col("rejected_id"))
     )
     turns = conversations.where("conv_id is not null").select("conv_id", "turn", "role", "text")
-    rows = turns.join(sides, turns["conv_id"] == sides["of"]).select("chosen_id", "rejected_id", "side", "turn", "role", "text")
-    key = ["chosen_id", "rejected_id"]
+    return turns.join(sides, turns["conv_id"] == sides["of"]).select(*KEY, "side", "turn", "role", "text")
+
+
+def all_sides(conversations: DataFrame) -> DataFrame:
+    """The sides of every conversation, as alternatives by opening, with an exchanged reply, or alone (side ``single``)."""
+    turns = conversations.where("conv_id is not null").select("conv_id", "turn", "role", "text")
+    opened = written(pair_by_opening(turns), "openings")
+    paired = opened.select(F.explode(F.array(*KEY)).alias("conv_id"))
+    rest = turns.join(paired, "conv_id", "left_anti").withColumn("place", F.coalesce("turn", F.lit(FIRST)))
+    replies = (
+        turns.where("role = 'assistant'")
+        .groupBy("conv_id")
+        .agg(F.max(F.struct(F.coalesce("turn", F.lit(FIRST)).alias("place"), "text")).alias("reply"))
+    )
+    other = replies.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("reply.text").alias("foreign"))
+    exchange = replies.join(other, "conv_id").select("conv_id", F.col("reply.place").alias("reply_place"), "foreign")
+    placed = rest.join(exchange, "conv_id", "left")
+    alone = F.col("reply_place").isNull()
+    own = F.struct(F.when(alone, "single").otherwise("chosen").alias("side"), "text")
+    before = F.struct(F.lit("rejected").alias("side"), "text")
+    instead = F.struct(F.lit("rejected").alias("side"), F.col("foreign").alias("text"))
+    is_reply = (F.col("place") == F.col("reply_place")) & F.col("role").eqNullSafe("assistant")
+    made = F.when(alone, F.array(own)).when(F.col("place") < F.col("reply_place"), F.array(own, before))
+    made = made.when(is_reply, F.array(own, instead)).otherwise(F.array(own))
+    exploded = placed.select("conv_id", "turn", "role", alone.alias("alone"), F.explode(made).alias("made"))
+    other_id = F.when(~F.col("alone"), F.col("conv_id").bitwiseXOR(F.lit(1)))
+    exchanged = exploded.select(F.col("conv_id").alias("chosen_id"), other_id.alias("rejected_id"), "made.side", "turn", "role", "made.text")
+    return sides_of(turns, opened).unionByName(exchanged)
+
+
+def format_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rendered turns of the prompt and both completions of every pair."""
+    return format_sides(sides_of(conversations, pairs))
+
+
+def format_sides(sides: DataFrame) -> DataFrame:
+    """Rendered turns of the prompt and both completions of every pair of sides, and of single conversations."""
+    rows = sides.where("side != 'single'")
     digests = {"a": _content(1), "b": _content(2)}
     of = lambda side, c: F.sum(F.when(F.col("side") == side, c).cast("decimal(20,0)"))
     compared = (
         rows.withColumns(digests)
         .withColumn("place", F.coalesce("turn", F.lit(FIRST)))
-        .groupBy(*key, "place")
+        .groupBy(*KEY, "place")
         .agg(
             *[
                 of("chosen", c).eqNullSafe(of("rejected", c)).alias(name)
@@ -77,16 +121,17 @@ def format_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
             ]
         )
     )
-    differs = compared.groupBy(*key).agg(F.min(F.when(~(F.col("n") & F.col("a") & F.col("b")), F.col("place"))).alias("parts_at"))
-    placed = rows.join(differs, key)
+    differs = compared.groupBy(*KEY).agg(F.min(F.when(~(F.col("n") & F.col("a") & F.col("b")), F.col("place"))).alias("parts_at"))
     shared = F.col("parts_at").isNull() | (F.coalesce("turn", F.lit(FIRST)) < F.col("parts_at"))
+    placed = rows.join(differs, KEY).withColumn("shared", shared).drop("parts_at")
+    alone = sides.where("side = 'single'").withColumn("shared", F.lit(False))
     header = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"))
     trained = ~F.col("shared") & F.coalesce(F.col("role") == "assistant", F.lit(False))
     return (
-        placed.withColumn("shared", shared)
-        .where(~F.col("shared") | (F.col("side") == "chosen"))
+        placed.where(~F.col("shared") | (F.col("side") == "chosen"))
+        .unionByName(alone)
         .select(
-            *key,
+            *KEY,
             F.when(F.col("shared"), "prompt").otherwise(F.col("side")).alias("segment"),
             "turn",
             "role",
@@ -109,25 +154,42 @@ def assemble(formatted: DataFrame) -> DataFrame:
     return formatted.groupBy("chosen_id", "rejected_id").agg(*[ordered(n) for n in ("prompt", "chosen", "rejected")])
 
 
-#: The same in DuckDB, for tables without repeated turns.
+#: The same in DuckDB, for tables without repeated turns or turns without a number.
 ORACLE_SQL = """
-with pairs as (
-  select distinct conv_id - conv_id % 2 as chosen_id, conv_id - conv_id % 2 + 1 as rejected_id
-  from conversations where conv_id is not null),
-c as (select p.*, t.turn, t.role, t.text from pairs p join conversations t on t.conv_id = p.chosen_id),
-r as (select p.*, t.turn, t.role, t.text from pairs p join conversations t on t.conv_id = p.rejected_id),
+with t as (select conv_id, turn, role, text from conversations where conv_id is not null),
+first as (select conv_id, arg_min({'r': role, 'x': text}, turn) as o from t group by 1),
+once as (select *, row_number() over w - 1 as k, lead(conv_id) over w as other from first
+  window w as (partition by o, floor(conv_id / 1024) order by conv_id)),
+twice as (select *, row_number() over w - 1 as k2, lead(conv_id) over w as other2 from once where k % 2 = 0 and other is null
+  window w as (partition by o order by conv_id)),
+opened as (
+  select conv_id as chosen_id, other as rejected_id from once where k % 2 = 0 and other is not null
+  union all select conv_id, other2 from twice where k2 % 2 = 0 and other2 is not null),
+last as (select conv_id, max(turn) as reply_turn, arg_max(coalesce(text, chr(0)), turn) as reply from t where role = 'assistant' group by 1),
+exchange as (
+  select a.conv_id, a.reply_turn, b.conv_id as other_id, nullif(b.reply, chr(0)) as reply from last a join last b on b.conv_id = xor(a.conv_id, 1)),
+rest as (
+  select t.*, e.reply_turn, e.other_id, e.reply from t left join exchange e using (conv_id)
+  where conv_id not in (select chosen_id from opened union all select rejected_id from opened)),
+c as (
+  select p.*, t.turn, t.role, t.text from opened p join t on t.conv_id = p.chosen_id
+  union all select conv_id, other_id, turn, role, text from rest where other_id is not null),
+r as (
+  select p.*, t.turn, t.role, t.text from opened p join t on t.conv_id = p.rejected_id
+  union all select conv_id, other_id, turn, role, case when turn = reply_turn then reply else text end from rest where turn <= reply_turn),
 parts as (
-  select coalesce(c.chosen_id, r.chosen_id) as chosen_id,
+  select coalesce(c.chosen_id, r.chosen_id) as chosen_id, coalesce(c.rejected_id, r.rejected_id) as rejected_id,
          min(coalesce(c.turn, r.turn)) filter (where c.turn is null or r.turn is null
            or c.role is distinct from r.role or c.text is distinct from r.text) as parts_at
-  from c full join r on c.chosen_id = r.chosen_id and c.turn = r.turn group by 1),
+  from c full join r on c.chosen_id = r.chosen_id and c.rejected_id = r.rejected_id and c.turn = r.turn group by 1, 2),
 rows as (
   select c.*, 'chosen' as side from c union all select r.*, 'rejected' from r),
 placed as (
-  select rows.*, parts_at is null or turn < parts_at as shared from rows join parts using (chosen_id))
+  select rows.*, parts_at is null or turn < parts_at as shared from rows join parts using (chosen_id, rejected_id)
+  union all select conv_id, null, turn, role, text, 'single', false from rest where other_id is null)
 select chosen_id, rejected_id, case when shared then 'prompt' else side end as segment, turn, role,
   '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) as rendered,
   not shared and coalesce(role = 'assistant', false) as trained,
   length(coalesce(role, '')) + 5 as train_from
-from placed where not shared or side = 'chosen'
+from placed where not shared or side = 'chosen' or side = 'single'
 """

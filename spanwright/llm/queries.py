@@ -61,13 +61,13 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
-    return found
+    found, recall = graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("audited_recall", F.lit(recall))
 
 
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
-    return preference_pairs.format_pairs(conversations, preference_pairs.pair_by_id(conversations))
+    return preference_pairs.format_sides(preference_pairs.all_sides(conversations))
 
 
 def labelled_languages(documents: DataFrame, labels: DataFrame) -> DataFrame:
