@@ -5,13 +5,16 @@
    member of both.  A cluster with over ``SHARD_ROWS`` members is split by hash into shards of about that size.
 3. *Build.*  In each shard every node's nearest members are robust-pruned: a member stays a neighbour unless one that
    was chosen before it is nearer to it by the factor ``ALPHA``.  Back edges are added, and parts that cannot be reached get
-   an edge from the medoid.  Clusters and shards only bound the work of a task: the adjacency lists of a node from all its shards are
-   united, and the union is the graph.
+   an edge from the medoid.  The adjacency lists of a node from all its shards are united, and the union is the graph.
 4. *Search.*  A node is searched for in the shards of its ``PROBES`` nearest clusters, all of them if a cluster was split.
-   The greedy search starts at the shard's medoid and expands the best node known ``BEAM`` times; then the range
-   grows: every node within ``SLACK`` of the threshold is expanded in turn until no new one is found.
-5. *Audit and verify.*  Links are verified by the cosine in double precision.  For up to ``AUDIT_QUERIES`` nodes the links
-   are counted by brute force too; below ``LEAST_RECALL`` the search is done again, wider.
+   A task walks the part of the graph between the members of one shard; edges that other shards have found between them
+   count, edges that leave are walked where both their ends are members.  The greedy search starts at the shard's medoid and
+   expands the best node known ``BEAM`` times; then the range grows: every node within ``SLACK`` of the threshold is
+   expanded in turn until no new one is found.
+5. *Audit and verify.*  Links are verified by the cosine in double precision.  A link is counted at both its ends, also where
+   the search of one end does not reach the other's cluster.  For ``AUDIT_QUERIES`` nodes, half of them with links found, the links are
+   counted by brute force too; below ``LEAST_RECALL`` the search is done again, wider, and in the end by comparing
+   every node with every member of all clusters of its label, in blocks, without the graph.
 
 A shard's links leave its task as counts and as a forest, never as pairs.  Clusters without end (one label and cluster with
 a third of all rows) are dealt out as shards, each searched by blocks of at most ``QUERY_ROWS`` nodes, so
@@ -35,9 +38,9 @@ from spanwright.llm.common import written
 from spanwright.llm.components import Forest, connected
 
 THRESHOLD = 0.98
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS = 16384
 CLUSTER_ROWS = 500
-MOST_CLUSTERS = 512
+MOST_CLUSTERS = 4096
 SHARD_ROWS = 1024
 QUERY_ROWS = 2048
 NEAREST = 64
@@ -47,6 +50,7 @@ PROBES = 3
 BEAM = 24
 SLACK = 0.03
 AUDIT_QUERIES = 256
+ATTEMPTS = 3
 LEAST_RECALL = 0.9
 
 SHARD = ["label", "dim", "cluster", "shard"]
@@ -216,8 +220,8 @@ def _build(members: DataFrame) -> DataFrame:
     return shards.groupBy("src").agg(F.array_distinct(F.flatten(F.collect_list("dst"))).alias("neighbours"))
 
 
-def _search(tasks: DataFrame, threshold: float, beam: int, slack: float) -> DataFrame:
-    """found(u, v, n): v is null for the link count of u in this task, else the root of u among the task's links."""
+def _search(tasks: DataFrame, threshold: float, beam: int, slack: float, exact: bool) -> DataFrame:
+    """found(u, v, n): v is null for a link count of u in this task, else the root of u among the task's links."""
 
     def run(frame):
         nodes, asking = frame[~frame["is_query"]], frame[frame["is_query"]]
@@ -230,7 +234,10 @@ def _search(tasks: DataFrame, threshold: float, beam: int, slack: float) -> Data
         x, y = unit(nodes["embedding"]), unit(asking["embedding"])
         own, weight = nodes["own"].to_numpy(bool), nodes["weight"].to_numpy(np.int64)
         who = asking["rep"].to_numpy(np.int64)
-        met = range_search(x, adjacency, y, threshold, beam, slack)
+        if exact:
+            met = np.concatenate([np.argwhere(y[k : k + 256] @ x.T >= threshold - 1e-9) + [k, 0] for k in range(0, len(y), 256)])
+        else:
+            met = range_search(x, adjacency, y, threshold, beam, slack)
         met = met[own[met[:, 1]] & (who[met[:, 0]] != rep[met[:, 1]])]
         cosine = np.concatenate([np.einsum("ij,ij->i", y[m[:, 0]], x[m[:, 1]]) for m in np.array_split(met, len(met) // 262144 + 1)])
         met = met[cosine >= threshold]
@@ -238,17 +245,24 @@ def _search(tasks: DataFrame, threshold: float, beam: int, slack: float) -> Data
         forest = Forest()
         for a, b in zip(who[met[:, 0]].tolist(), rep[met[:, 1]].tolist(), strict=True):
             forest.join(a, b)
+        # a node that does not look into the asking one's own cluster learns of the link here
+        home = asking["cluster_of"].to_numpy(np.int64)
+        looks = [set(c) for c in nodes["near"]]
+        back = np.array([home[a] not in looks[b] for a, b in met.tolist()], bool)
+        met_back = met[back] if len(met) else met
+        again = np.bincount(met_back[:, 1], asking["weight"].to_numpy(np.int64)[met_back[:, 0]], len(rep)).astype(np.int64)
         some = count > 0
         linked = [(a, forest.root(a), None) for a in forest.parent if forest.root(a) != a]
-        rows = [(int(a), None, int(c)) for a, c in zip(who[some], count[some])] + linked
+        rows = [(int(a), None, int(c)) for a, c in zip(who[some], count[some])]
+        rows += [(int(rep[k]), None, int(again[k])) for k in np.flatnonzero(again)] + linked
         return pd.DataFrame(rows, columns=["u", "v", "n"]).astype("Int64") if rows else none
 
     return tasks.groupBy(*SHARD, "part").applyInPandas(run, "u long, v long, n long")
 
 
-def graph_links(placed: DataFrame, threshold: float, beam: int, slack: float) -> DataFrame:
+def graph_links(placed: DataFrame, threshold: float, beam: int, slack: float, exact: bool = False) -> DataFrame:
     """The search's counts and forests for classes placed by :func:`assign`."""
-    spread = placed.select("rep", "weight", "label", "dim", "embedding", F.posexplode("near").alias("rank", "cluster"))
+    spread = placed.select("rep", "weight", "label", "dim", "embedding", "near", F.posexplode("near").alias("rank", "cluster"))
     cluster = ["label", "dim", "cluster"]
     sizes = spread.groupBy(*cluster).agg(
         F.ceil(F.count_if(F.col("rank") < 2) / SHARD_ROWS).cast("int").alias("shards"),
@@ -266,6 +280,8 @@ def graph_links(placed: DataFrame, threshold: float, beam: int, slack: float) ->
         "embedding",
         "neighbours",
         (F.col("rank") == 0).alias("own"),
+        "near",
+        F.lit(None).cast("int").alias("cluster_of"),
         F.lit(False).alias("is_query"),
     )
     queries = spread.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(
@@ -276,14 +292,19 @@ def graph_links(placed: DataFrame, threshold: float, beam: int, slack: float) ->
         "embedding",
         F.lit(None).cast("array<long>").alias("neighbours"),
         F.lit(False).alias("own"),
+        F.lit(None).cast("array<int>").alias("near"),
+        F.get("near", F.lit(0)).alias("cluster_of"),
         F.lit(True).alias("is_query"),
     )
-    return _search(nodes.union(queries), threshold, beam, slack)
+    return _search(nodes.union(queries), threshold, beam, slack, exact)
 
 
 def audit(classes: DataFrame, counts: DataFrame, threshold: float) -> float:
     """Share of the links of up to ``AUDIT_QUERIES`` classes, by brute force against all, that were found."""
-    picked = classes.orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(AUDIT_QUERIES).select("rep", "label", "dim", "embedding").toPandas()
+    by_chance = [F.xxhash64(F.lit("audit"), "rep"), "rep"]
+    asked = classes.select("rep", "label", "dim", "embedding")
+    linked = asked.join(counts.select(F.col("u").alias("rep")), "rep", "left_semi").orderBy(*by_chance).limit(AUDIT_QUERIES // 2)
+    picked = linked.union(asked.orderBy(*by_chance).limit(AUDIT_QUERIES // 2)).toPandas().drop_duplicates("rep")
     if not len(picked):
         return 1.0
 
@@ -308,13 +329,17 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> tupl
     rows, classes = classes_of(embeddings)
     classes = written(classes, "classes")
     centroids = fit_centroids(classes)
-    for attempt in range(3):
-        placed = written(assign(classes, centroids, PROBES + 2 * attempt), "placed")
-        found = written(graph_links(placed, threshold, BEAM * (1 + attempt), SLACK * (1 + attempt)), "found")
-        counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("links"))
+    every = max(map(len, centroids.values()), default=1)
+    for attempt in range(ATTEMPTS + 1):
+        exact = attempt == ATTEMPTS
+        placed = written(assign(classes, centroids, every if exact else PROBES + 2 * attempt), "placed")
+        found = written(graph_links(placed, threshold, BEAM * (1 + attempt), SLACK * (1 + attempt), exact), "found")
+        counts = written(found.where("v is null").groupBy("u").agg(F.sum("n").alias("links")), "counts")
         recall = audit(classes, counts, threshold)
         if recall >= LEAST_RECALL:
             break
+    else:
+        raise RuntimeError(f"only {recall:.2f} of the audited links were found")
     parts = connected(found.where("v is not null").select("u", "v"))
     named = (
         classes.select("key1", "key2", "rep", "weight")

@@ -61,6 +61,50 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert sum(g != w for g, w in zip(got, want)) <= 0.03 * len(want)
 
 
+def test_low_recall_is_never_accepted(spark, monkeypatch):
+    # a search that finds nothing but one link of each node
+    real = gd.range_search
+    monkeypatch.setattr(gd, "PROBES", 1)
+    monkeypatch.setattr(gd, "SHARD_ROWS", 30)
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(25):
+        base = rng.normal(size=16)
+        rows += [(len(rows) + k, [float(np.float32(x)) for x in base + rng.normal(size=16) * 0.02], 0) for k in range(8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    tried = []
+
+    def poor(placed, threshold, beam, slack, exact=False):
+        tried.append(exact)
+        out = gd_links(placed, threshold, beam, slack, exact)
+        return out if exact else out.where("v is not null").limit(5).union(out.where("v is null").selectExpr("u", "v", "cast(1 as long) as n"))
+
+    gd_links = gd.graph_links
+    monkeypatch.setattr(gd, "graph_links", poor)
+    df, recall = gd.near_duplicates(frame)
+    assert tried == [False, False, False, True] and recall == 1.0 and real is gd.range_search
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in df.collect()), key=str)
+    assert got == sorted(brute(rows), key=str)
+
+
+def test_links_are_counted_at_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(gd, "PROBES", 1)
+    monkeypatch.setattr(gd, "CLUSTER_ROWS", 20)
+    monkeypatch.setattr(gd, "LEAST_RECALL", 0.0)
+    rows = corpus(400, seed=3)
+    df, _ = gd.near_duplicates(spark.createDataFrame([(*r, "k", 1) for r in rows], SCHEMA).repartition(4))
+    got = df.collect()
+    linked = {r.component_id for r in got if r.vec_id != r.component_id}
+    assert all(r.n_links > 0 for r in got if r.vec_id is not None and r.vec_id in linked)
+    assert all(r.n_links > 0 for r in got if r.vec_id is not None and r.vec_id != r.component_id)
+
+
+def test_one_very_large_group_of_equal_vectors(spark):
+    rows = [(k, [1.0, 2.0, 3.0], 1) for k in range(3000)] + [(9000 + k, [1.0, 2.0, 3.001 + k / 1000], 1) for k in range(5)]
+    df, _ = gd.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4))
+    assert {(r.n_links, r.component_id) for r in df.collect()} == {(3004, 0)}
+
+
 def test_empty_table(spark):
     df, recall = gd.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))
     assert df.count() == 0 and recall == 1.0
