@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.llm.common import held_out
@@ -43,17 +43,17 @@ def labelled_sample(documents: DataFrame, labelled: DataFrame, strata: list[str]
         .groupBy("doc_id")
         .agg(*[F.max(s).alias(s) for s in strata])
     )
-    sizes = {tuple(r[:-1]): r[-1] for r in marked.groupBy(*strata).count().collect()}
-    picked = None
-    for values in sorted(sizes, key=str):
-        part = marked
-        for s, v in zip(strata, values, strict=True):
-            part = part.where(F.col(s) == F.lit(v))
-        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_stratum)
-        picked = part if picked is None else picked.union(part)
+    counted = marked.groupBy(*strata).agg(F.count("*").alias("stratum_rows"))
+    sizes = {tuple(r[:-1]): r[-1] for r in counted.collect()}
     columns = ["doc_id", *strata, "ids", "counts"]
-    if picked is None:
+    if not sizes:
         return pd.DataFrame(columns=columns), sizes
+    # the least hashes of a stratum lie under this bound, so the window ranks little more than what is taken
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    near = share * F.col("stratum_rows") <= 1.25 * rows_per_stratum + 60
+    order = Window.partitionBy(*strata).orderBy(share, "doc_id")
+    kept = marked.join(F.broadcast(counted), strata).where(near).withColumn("place", F.row_number().over(order))
+    picked = kept.where(F.col("place") <= rows_per_stratum).select("doc_id", *strata)
 
     def words(batches):
         for frame in batches:
@@ -64,7 +64,7 @@ def labelled_sample(documents: DataFrame, labelled: DataFrame, strata: list[str]
 
     kinds = dict(marked.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ["doc_id", *strata]) + ", ids array<int>, counts array<long>"
-    # at most rows_per_stratum rows of each stratum, so this side is small by its parameter
+    # at most rows_per_stratum rows of each stratum, which the caller gathers on the driver anyway
     rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", *strata, "text")
     return rows.mapInPandas(words, schema).toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True), sizes
 

@@ -10,8 +10,8 @@ targets unmet, as with rare domains, Newton's method on the dual problem, of one
 step that meets them.  Targets that no rates meet are approached as far as can be, with a warning that says how far.
 
 The classifier is naive Bayes over hashed words, tempered on a part of the sample that did not count: without that the
-posteriors of long texts would all be 0 or 1.  The fit reads at most ``rows_per_domain`` labelled rows of each domain,
-and takes at most ``MOST_DOMAINS`` domains, the commonest.
+posteriors of long texts would all be 0 or 1.  The fit reads at most ``rows_per_domain`` labelled rows of each domain and
+takes every labelled domain, however rare.  Tokens are words of the text, as the posteriors are made of them.
 
 Defined results: a null text has no tokens; its posterior is the prior and its rate follows from that.  Rows with null labels are
 left out of the fit.  Repeated rows each have a rate.  Without labelled rows there is one domain, ``all``.
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from spanwright.llm.common import written
 from spanwright.llm.linear_text import BITS, hashed_words, labelled_sample
 
-MOST_DOMAINS = 64
 STEPS = 80
 TOLERANCE = 1e-4
 LAST_STEPS = 200
@@ -61,23 +60,25 @@ class DomainModel:
 
 def fit_domains(documents: DataFrame, labelled: DataFrame, rows_per_domain: int = 1000, least_rows: int = 3) -> DomainModel:
     """``labelled`` has doc_id and domain (a string)."""
-    common = labelled.where("domain is not null").groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MOST_DOMAINS)
-    names = sorted(r[0] for r in common.collect())
+    sample, sizes = labelled_sample(documents, labelled.where("domain is not null"), ["domain"], rows_per_domain)
+    names = sorted(n for (n,) in sizes)
     if not names:
         return DomainModel(("all",), np.zeros(1), np.empty(0, np.int64), np.empty((0, 1)), 1.0)
-    sample, sizes = labelled_sample(documents, labelled.where(F.col("domain").isin(names)), ["domain"], rows_per_domain)
-    y = np.array([names.index(d) for d in sample["domain"]], int)
+    place = {n: k for k, n in enumerate(names)}
+    y = np.array([place[d] for d in sample["domain"]], int)
     prior = np.array([sizes.get((n,), 0) + 1 for n in names], float)
     log_prior = np.log(prior / prior.sum())
     fitted = np.arange(len(y)) % 4 != 3
     seen = np.zeros(1 << BITS, np.int64)
-    totals = np.zeros((len(names), 1 << BITS))
     for k in np.flatnonzero(fitted):
-        ids, counts = np.asarray(sample["ids"][k], int), np.asarray(sample["counts"][k], float)
-        seen[ids] += 1
-        totals[y[k], ids] += counts
+        seen[np.asarray(sample["ids"][k], int)] += 1
     words = np.flatnonzero(seen >= least_rows)
-    smooth = totals[:, words] + 0.5
+    totals = np.zeros((len(names), len(words)))
+    for k in np.flatnonzero(fitted):
+        ids, counts = np.asarray(sample["ids"][k], int), np.asarray(sample["counts"][k], float)
+        often = seen[ids] >= least_rows
+        totals[y[k], np.searchsorted(words, ids[often])] += counts[often]
+    smooth = totals + 0.5
     log_likelihood = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T if len(words) else np.empty((0, len(names)))
     best = None
     for temper in 2.0 ** np.arange(-4, 5):
@@ -107,11 +108,11 @@ def posteriors(documents: DataFrame, model: DomainModel, text: str = "text", key
     return rows.mapInPandas(run, kind).withColumnRenamed("key", key)
 
 
-def _rates(p: np.ndarray, residuals: np.ndarray) -> np.ndarray:
+def _rates(p: np.ndarray, residuals: np.ndarray, least: float = 0.0) -> np.ndarray:
     """Replay the projected steps for documents with posteriors ``p``, from rate 1."""
     rate = np.ones(len(p))
     for step in residuals:
-        rate = np.maximum(0.0, rate - p @ step)
+        rate = np.maximum(least, rate - p @ step)
     return rate
 
 
@@ -121,13 +122,14 @@ class Mixture:
     targets: np.ndarray
     reached: np.ndarray
     residuals: np.ndarray
+    least: float = 0.0
 
     def rate(self) -> Column:
-        residuals = self.residuals
+        residuals, least = self.residuals, self.least
 
         @F.pandas_udf("double")
         def of(*p: pd.Series) -> pd.Series:
-            return pd.Series(_rates(np.column_stack([x.to_numpy() for x in p]), residuals))
+            return pd.Series(_rates(np.column_stack([x.to_numpy() for x in p]), residuals, least))
 
         return of(*[F.col(f"p{k}") for k in range(len(self.domains))])
 
@@ -138,20 +140,23 @@ def rate_of_text(text: Column, model: DomainModel, mixture: Mixture) -> Column:
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         p = np.array([model.posterior(*hashed_words(t)) for t in texts]).reshape(len(texts), -1)
-        return pd.Series(_rates(p, mixture.residuals))
+        return pd.Series(_rates(p, mixture.residuals, mixture.least))
 
     return of(text)
 
 
-def _last_step(members: DataFrame, residuals: np.ndarray, goal: np.ndarray, total: float) -> np.ndarray:
-    """The step after which the rates are the nearest ones, by tokens, that meet the goal, or come closest to it."""
+def _last_step(members: DataFrame, residuals: np.ndarray, goal: np.ndarray, total: float, least: float) -> np.ndarray:
+    """The step after which the rates are the nearest ones, by tokens, that meet the goal, or come closest to it.
+
+    Rates are counted from ``least`` on, and ``goal`` is what they are to add to the tokens that come with it.
+    """
     d = len(goal)
 
     def value(step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def sums(batches):
             for frame in batches:
                 p, tokens = frame[[f"p{k}" for k in range(d)]].to_numpy(), frame["n_tokens"].to_numpy(float)
-                rate = _rates(p, residuals) - p @ step
+                rate = _rates(p, residuals, least) - least - p @ step
                 mass, on = np.maximum(rate, 0) * tokens, np.where(rate > 0, tokens, 0)
                 parts = [[mass @ np.maximum(rate, 0) / 2], mass @ p, ((p * on[:, None]).T @ p).ravel()]
                 yield pd.DataFrame({"sums": [np.concatenate(parts)]})
@@ -179,10 +184,10 @@ def _last_step(members: DataFrame, residuals: np.ndarray, goal: np.ndarray, tota
     raise RuntimeError(f"rates not found after {STEPS} steps and {LAST_STEPS} more; the shares still differ by {np.abs(down).max():.2g}")
 
 
-def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: np.ndarray, steps: int | None = None) -> Mixture:
+def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: np.ndarray, steps: int | None = None, least: float = 0.0) -> Mixture:
     """``members`` has n_tokens and p0, p1, ...; ``targets`` are token totals, one for each domain.
 
-    With ``steps`` only so many gradient steps are done, met or not; ``reached`` says how far they came.
+    No rate is under ``least``.  With ``steps`` only so many gradient steps are done, met or not; ``reached`` says how far they came.
     """
     d = len(domains)
     columns = [F.col(f"p{k}") for k in range(d)]
@@ -202,7 +207,7 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: np.ndarray,
         def sums(batches):
             for frame in batches:
                 p = frame[[f"p{k}" for k in range(d)]].to_numpy()
-                mass = (_rates(p, history) * frame["n_tokens"].to_numpy()) @ p
+                mass = (_rates(p, history, least) * frame["n_tokens"].to_numpy()) @ p
                 yield pd.DataFrame([mass], columns=[f"s{k}" for k in range(d)])
 
         local = members.select("n_tokens", *columns).mapInPandas(sums, ", ".join(f"s{k} double" for k in range(d)))
@@ -217,12 +222,13 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: np.ndarray,
         residuals = np.vstack([residuals, pace * gap])
         now = reached()
     if steps is None and np.abs(now - goal).max() > TOLERANCE:
-        residuals = np.vstack([residuals, _last_step(members, residuals, goal, total)])
+        rest = goal - least * token_totals(members, d) / total
+        residuals = np.vstack([residuals, _last_step(members, residuals, rest, total, least)])
         now = reached()
         if np.abs(now - goal).max() > TOLERANCE:
             far = ", ".join(f"{n} {a * total:.0f} of {g * total:.0f}" for n, a, g in zip(domains, now, goal))
             warnings.warn(f"no rates meet the targets; tokens reached: {far}", stacklevel=2)
-    return Mixture(domains, np.asarray(targets, float), now * total, residuals)
+    return Mixture(domains, np.asarray(targets, float), now * total, residuals, least)
 
 
 def token_totals(members: DataFrame, d: int) -> np.ndarray:
@@ -239,8 +245,12 @@ def copies(rate: Column, key: Column) -> Column:
 def mix(documents: DataFrame, model: DomainModel, weights: Mapping[str, float] | None = None) -> tuple[DataFrame, Mixture]:
     """doc_id, n_tokens, domain (the likeliest), posteriors, rate and copies; as many tokens in all as there are.
 
-    ``weights`` are the domains' shares of the tokens, equal shares if not given; unnamed domains get none.
+    ``weights`` are the domains' shares of the tokens, equal shares if not given; unnamed domains get none.  A weight of
+    a domain that no labelled row names can't be met; a warning says so.
     """
+    unknown = sorted(n for n, w in (weights or {}).items() if w > 0 and n not in model.domains)
+    if unknown:
+        warnings.warn(f"no labelled rows of {', '.join(unknown)}: the other weights are raised to make up for theirs", stacklevel=2)
     members = written(posteriors(documents, model), "members")
     d = len(model.domains)
     shares = np.array([(weights or {}).get(name, 0.0) for name in model.domains]) if weights else np.ones(d)
