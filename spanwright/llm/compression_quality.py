@@ -9,8 +9,7 @@ only the part for which a dictionary's content is still in the window.  The feat
 and a logistic curve fitted on labelled rows that no dictionary has seen turns it into a probability.
 
 The fit reads a bounded sample: at most ``dictionary_rows`` and ``calibration_rows`` labelled rows of each class,
-those with the smallest hash of their id.  From a row for the dictionaries at most ``BLOCKS_PER_ROW`` evenly spaced blocks are
-taken.  Scoring reads whole texts.
+those with the smallest hash of their id.  Of these rows, as of those scored, the whole text counts.
 
 Defined results: a null text scores as an empty one, whose feature is 0.  Labels that are null are left out; an id with
 both labels counts as bad.  Without labelled rows of both classes the score is the share of good
@@ -31,7 +30,6 @@ from pyspark.sql import functions as F
 from spanwright.llm.common import held_out
 
 BLOCK = 1024
-BLOCKS_PER_ROW = 16
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -90,10 +88,8 @@ def _sampled_blocks(labelled: DataFrame) -> list[bytes]:
             out = []
             for text in frame["text"]:
                 raw = (text or "").encode("utf-8", "replace")
-                starts = range(0, max(len(raw), 1), BLOCK)
-                step = max(1, math.ceil(len(starts) / BLOCKS_PER_ROW))
-                out += [raw[s : s + BLOCK] for s in starts[::step]]
-            yield pd.DataFrame({"block": [b for b in out if b]})
+                out += [raw[at : at + BLOCK] for at in range(0, len(raw), BLOCK)]
+            yield pd.DataFrame({"block": out})
 
     return sorted(bytes(r[0]) for r in labelled.select("text").mapInPandas(blocks, "block binary").collect())
 
