@@ -47,25 +47,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def release(mark: int = 0) -> None:
-    """Delete the scratch tables written since ``mark`` (see :func:`mark`); their readers must be done."""
-    while len(_written) > mark:
-        spark, path = _written.pop()
+def give_back() -> None:
+    """Hand a worker's free memory back to the system: workers live on between tasks, and so does what they hold."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there is none outside glibc
+    if trim is not None:
+        trim(0)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind what :func:`written` gave; everything that reads it must have run."""
+    spark, path = df.sparkSession, df.scratch_path
+    _written.remove((spark, path))
+    _delete(spark, path)
+
+
+def release() -> None:
+    """Delete the scratch tables that are left; their readers must be done."""
+    while _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_written.pop())
         except Exception:  # the session may have ended before the interpreter
             return
 
 
-def mark() -> int:
-    return len(_written)
-
-
 atexit.register(release)
 
 
@@ -73,11 +92,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = 1 << 24):
-    """A test for columns of ids that lets all of ``ids`` pass and few others, for use before a join shuffles wide rows.
+def id_bitmap(ids: DataFrame, column: str, bits: int = 1 << 24):
+    """A broadcast bitmap of hashed ids, of ``bits`` bits (2 MB) however many ids there are, and the place of an id in it.
 
-    The filter is a bitmap of ``bits`` bits (2 MB) however many ids there are; when they are very many it lets more rows
-    through, which the join then drops.
+    All of ``ids`` are in it, and few others; when there are very many ids it lets more pass.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     words = (
@@ -88,12 +106,21 @@ def id_filter(ids: DataFrame, column: str, bits: int = 1 << 24):
     )
     bitmap = np.zeros(bits // 64, np.int64)
     bitmap[words["word"].to_numpy(np.int64)] = words["word_bits"].to_numpy(np.int64)
-    shared = ids.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
+    return ids.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8)), place
+
+
+def in_bitmap(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
+    at = places.astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def id_filter(ids: DataFrame, column: str, bits: int = 1 << 24):
+    """A test for columns of ids that lets all of ``ids`` pass and few others, for use before a join shuffles wide rows."""
+    shared, place = id_bitmap(ids, column, bits)
 
     @F.pandas_udf("boolean")
     def known(places: pd.Series) -> pd.Series:
-        at = places.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+        return pd.Series(in_bitmap(shared.value, places.to_numpy()))
 
     return lambda c: known(place(c))
 

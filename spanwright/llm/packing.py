@@ -26,13 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import written
+from spanwright.llm.common import give_back, written
 
 CAPACITY = 2048
 NEARLY_FULL = 0.99
 FAN_IN = 8
 NODE_ITEMS = 200_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 WORTH_A_LEVEL = 0.001
 END_ID = b"\x00\x00\x00\x00"
 #: ASCII characters that are neither letters, digits nor white space.
@@ -177,6 +177,7 @@ def pack_locally(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
                 "node": np.full(len(ids), node, np.int64),
             }
         )
+        give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, bin_offset long, bin_fill long, node long"
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import id_filter, written
+from spanwright.llm.common import discard, give_back, id_bitmap, in_bitmap, written
 from spanwright.llm.components import Forest, connected
 
 WIDTH = 3
@@ -46,8 +46,8 @@ SKETCH_PARTS = 64
 BITMAP_WORDS = 8
 MINIMA = 3
 HOT_ROWS = 256
-LIST_ROWS = 1024
-CELL_ROWS = 256
+LIST_ROWS = 4096
+CELL_ROWS = 2048
 BLOCK = 64
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -94,6 +94,11 @@ def parity_bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def slices(frame: pd.DataFrame, rows: int = 1000):
+    for at in range(0, len(frame), rows):
+        yield frame.iloc[at : at + rows]
+
+
 def sketch(documents: DataFrame, width: int) -> np.ndarray:
     """How often each counter's shingles occur; no more than ``SKETCH`` numbers, whatever the corpus."""
 
@@ -145,7 +150,7 @@ def prefixes(documents: DataFrame, counts: np.ndarray, width: int, percent: int)
         import xxhash
 
         counts = common.value
-        for frame in batches:
+        for frame in (part for whole in batches for part in slices(whole)):
             rows = []
             for key, text in zip(frame["doc_id"], frame["text"], strict=True):
                 tokens = shingles(text, width)
@@ -160,6 +165,7 @@ def prefixes(documents: DataFrame, counts: np.ndarray, width: int, percent: int)
                 minima = least_hashes(mixed)
                 rows.append((key, n, digest, parity_bitmap(tokens), minima, tokens[order].view(np.int64), seen[order]))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "bitmap", "minima", "tokens", "seen"]).astype({"doc_id": "Int64"})
+        give_back()
 
     kind = "doc_id long, n int, digest binary, bitmap binary, minima array<long>, tokens array<long>, seen array<int>"
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, kind)
@@ -167,14 +173,18 @@ def prefixes(documents: DataFrame, counts: np.ndarray, width: int, percent: int)
 
 def sets_of(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(rep, tokens as bytes) of the documents whose doc_id is among the column ``rep`` of ``ids``, and of a few others."""
+    wanted, place = id_bitmap(ids, "rep")
 
     def run(batches):
-        for frame in batches:
-            made = [shingles(t, width).tobytes() for t in frame["text"]]
-            yield pd.DataFrame({"rep": frame["rep"], "tokens": made})
+        for whole in batches:
+            for frame in slices(whole[in_bitmap(wanted.value, whole["place"].to_numpy())]):
+                made = [shingles(t, width).tobytes() for t in frame["text"]]
+                yield pd.DataFrame({"rep": frame["rep"], "tokens": made})
+        give_back()
 
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null")
-    return texts.where(id_filter(ids, "rep")(F.col("rep"))).mapInPandas(run, "rep long, tokens binary").where("length(tokens) > 0")
+    texts = texts.select("rep", place(F.col("rep")).alias("place"), "text")
+    return texts.mapInPandas(run, "rep long, tokens binary").where("length(tokens) > 0")
 
 
 def hot_links(classes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -184,21 +194,34 @@ def hot_links(classes: DataFrame, documents: DataFrame, width: int, percent: int
     hot = written(hot.select("which", "key", "leader"), "hot-buckets")
     asked = keys.join(hot, ["which", "key"]).where("rep != leader").select("rep", "leader").distinct()
     asked = written(asked, "hot-members")
-    wanted = asked.select("rep").union(asked.select("leader"))
-    sets = written(sets_of(documents, wanted, width), "hot-sets")
-
-    def linked(batches):
-        for frame in batches:
-            keep = np.zeros(len(frame), bool)
-            for k, (x, y) in enumerate(zip(frame["tokens"], frame["other"], strict=True)):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                least = least_shared(len(a) + len(b), percent)
-                keep[k] = min(len(a), len(b)) >= least and len(np.intersect1d(a, b, assume_unique=True)) >= least
-            yield frame.loc[keep, ["u", "v"]]
-
-    leaders = sets.select(F.col("rep").alias("leader"), F.col("tokens").alias("other"))
-    pairs = asked.join(sets, "rep").join(leaders, "leader").select(F.col("rep").alias("u"), F.col("leader").alias("v"), "tokens", "other")
-    return pairs.mapInPandas(linked, "u long, v long")
+    if asked.isEmpty():
+        return asked.select(F.col("rep").alias("u"), F.col("leader").alias("v"))
+    sets = written(sets_of(documents, asked.select("rep").union(asked.select("leader")), width), "hot-sets")
+    # a leader's set goes to each part of its bucket once
+    sizes = asked.groupBy("leader").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit("part"), "rep"), F.col("parts")).cast("int")
+    members = asked.join(sizes, "leader").select("leader", part.alias("part"), "rep").join(sets, "rep")
+    heads = sizes.select(F.col("leader").alias("head"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("head_part"))
+    heads = heads.join(sets.select(F.col("rep").alias("head"), F.col("tokens").alias("head_tokens")), "head")
+
+    def linked(members: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        firsts = [np.frombuffer(t, np.uint64) for t in heads["head_tokens"]]
+        u = []
+        for rep, tokens in zip(members["rep"], members["tokens"], strict=True):
+            a = np.frombuffer(tokens, np.uint64)
+            if any(shares_enough(a, b, percent) for b in firsts):
+                u.append(rep)
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.repeat(heads["head"].to_numpy(np.int64)[:1], len(u))})
+
+    both = members.groupBy("leader", "part").cogroup(heads.groupBy("head", "head_part"))
+    links = written(both.applyInPandas(linked, "u long, v long"), "hot-links")
+    discard(sets)
+    return links
+
+
+def shares_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    least = least_shared(len(a) + len(b), percent)
+    return min(len(a), len(b)) >= least and len(np.intersect1d(a, b, assume_unique=True)) >= least
 
 
 def deal(rows: DataFrame, key: str, most: int, doubtful=None) -> DataFrame:
@@ -435,7 +458,7 @@ def jaccard_classes(documents: DataFrame, width: int = WIDTH, percent: int = PER
     firsts = table.join(known, (table["doc_id"] == known["rep"]) & (table["digest"] == known["own"]))
     firsts = firsts.dropDuplicates(["rep", "digest"]).select("rep", "n", "bitmap", "minima", "tokens", "seen")
     firsts = written(firsts, "firsts")
-    hot = written(hot_links(firsts, documents, width, percent), "hot-links")
+    hot = hot_links(firsts, documents, width, percent)
     labels = written(connected(hot).select(F.col("node").alias("rep"), "component"), "labels")
     label = F.coalesce("component", "rep").alias("label")
     labelled = firsts.join(labels, "rep", "left").select("rep", label, "n", "bitmap", "tokens", "seen")
