@@ -6,7 +6,6 @@ Everything is windows over one track, so one shuffle by track serves all policie
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,6 +195,10 @@ def lagging(screens: DataFrame, units: DataFrame) -> DataFrame:
     return per.select("track", "policy", (F.col("total") / F.col("tau") / 1000).alias("laal_s"))
 
 
+#: Starts of tracks are joined by bins of so many frames.
+START_BIN = 1024
+
+
 def group_tracks(trace: DataFrame) -> DataFrame:
     """Give every hypothesis of a stream its sentence, ``track``: a number in order of the tracks' first hypotheses.
 
@@ -203,49 +206,46 @@ def group_tracks(trace: DataFrame) -> DataFrame:
     open_span.  Closed hypotheses of one id make a track until one of them commits; one without an id is its own.  An open
     one joins the track that started nearest to it, at most delta frames away, and goes on after it, but not that of
     another unit which the same pass closed; without one it joins or makes a track of open hypotheses.
+
+    Closed tracks are told apart by how often their id has committed before, open ones find them by a join on bins of the start;
+    only the open ones that find none are folded in turn, as the tracks that they make depend on the order.
     """
-    fields = {f.name: f.dataType.simpleString() for f in trace.schema}
-    schema = ", ".join([f"{n} {t}" for n, t in fields.items()] + ["track long"])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq").reset_index(drop=True)
-        owner: list[int] = [-1] * len(rows)
-        starts: list[int] = []
-        last: list[int] = []
-        running: dict[int, int] = {}
-        hyps = list(rows[["at_ms", "track_id", "start_frame", "delta_frames", "committed", "open_span"]].itertuples(index=False, name="Hypothesis"))
-
-        def put(i: int, track: int | None) -> int:
-            if track is None:
-                track = len(starts)
-                starts.append(int(hyps[i].start_frame))
-                last.append(i)
-            owner[i], last[track] = track, i
-            return track
-
-        for i, h in enumerate(hyps):
-            if h.open_span:
-                continue
-            named = not pd.isna(h.track_id)
-            at = put(i, running.get(int(h.track_id)) if named else None)
-            if named:
-                running[int(h.track_id)] = at
-                if h.committed:
-                    del running[int(h.track_id)]
-        closed, ends = len(starts), list(last)
-        for i, h in enumerate(hyps):
-            if not h.open_span:
-                continue
-            near = lambda k, h=h: abs(starts[k] - int(h.start_frame))
-            within = lambda ks, near=near, h=h: min((k for k in ks if near(k) <= int(h.delta_frames)), key=near, default=None)
-            other = None
-            if i + 1 < len(hyps) and not hyps[i + 1].open_span and hyps[i + 1].at_ms == h.at_ms and hyps[i + 1].start_frame != h.start_frame:
-                other = owner[i + 1]
-            found = within([k for k in range(closed) if ends[k] > i and k != other])
-            put(i, within(range(closed, len(starts))) if found is None else found)
-        order: dict[int, int] = {}
-        for k in owner:
-            order.setdefault(k, len(order))
-        return rows.assign(track=[order[k] for k in owner])
-
-    return trace.groupBy("stream_id").applyInPandas(run, schema)
+    stream = ["stream_id"]
+    lives = Window.partitionBy("stream_id", "track_id", F.when(F.col("track_id").isNull(), F.col("seq")), "open_span").orderBy("seq")
+    before = F.coalesce(F.count_if("committed").over(lives.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.when(F.col("track_id").isNull(), F.concat(F.lit("seq "), "seq")).otherwise(F.concat_ws(" ", F.lit("id"), "track_id", before))
+    named = trace.withColumn("closed_track", F.when(~F.col("open_span"), own))
+    after = Window.partitionBy(*stream).orderBy("seq")
+    rival = F.lead(F.struct("closed_track", "at_ms", "start_frame")).over(after)
+    named = named.withColumn("rival", rival)
+    tracks = named.where("not open_span").groupBy(*stream, F.col("closed_track").alias("name")).agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.min_by("start_frame", "seq").alias("track_start")
+    )
+    bin_of = lambda c: F.floor(c / START_BIN)
+    reach = F.sequence(bin_of(F.col("start_frame") - F.col("delta_frames")), bin_of(F.col("start_frame") + F.col("delta_frames")))
+    asking = named.where("open_span and delta_frames >= 0").select(*stream, "seq", "at_ms", "start_frame", "delta_frames", "rival", F.explode(reach).alias("start_bin"))
+    gap = F.abs(F.col("track_start") - F.col("start_frame"))
+    closed_by_pass = (F.col("rival.at_ms") == F.col("at_ms")) & (F.col("rival.start_frame") != F.col("start_frame")) & (F.col("rival.closed_track") == F.col("name"))
+    near = (gap <= F.col("delta_frames")) & (F.col("last_seq") > F.col("seq")) & ~F.coalesce(closed_by_pass, F.lit(False))
+    met = asking.join(tracks.withColumn("start_bin", bin_of(F.col("track_start"))), [*stream, "start_bin"]).where(near)
+    found = met.groupBy(*stream, "seq").agg(F.min(F.struct(gap, "first_seq", "name"))["name"].alias("found"))
+    placed = named.join(found, [*stream, "seq"], "left")
+    lone = placed.where("open_span and found is null").groupBy(*stream).agg(
+        F.sort_array(F.collect_list(F.struct("seq", F.col("start_frame").cast("long").alias("start"), F.col("delta_frames").cast("long").alias("delta")))).alias("rows")
+    )
+
+    def fold(state, row):
+        gaps = F.transform(state["starts"], lambda s, k: F.struct(F.abs(s - row["start"]).alias("gap"), k.alias("k")))
+        nearest = F.array_min(F.filter(gaps, lambda g: g["gap"] <= row["delta"]))
+        owner = F.coalesce(nearest["k"], F.size(state["starts"]))
+        starts = F.when(nearest.isNull(), F.concat(state["starts"], F.array(row["start"]))).otherwise(state["starts"])
+        return F.struct(starts.alias("starts"), F.concat(state["owners"], F.array(owner)).alias("owners"))
+
+    none = F.struct(F.array().cast("array<bigint>").alias("starts"), F.array().cast("array<int>").alias("owners"))
+    owners = F.aggregate("rows", none, fold, lambda s: s["owners"])
+    dealt = lone.select(*stream, F.explode(F.arrays_zip(F.transform("rows", lambda r: r["seq"]).alias("seq"), owners.alias("owner"))).alias("x"))
+    dealt = dealt.select(*stream, "x.seq", F.concat(F.lit("open "), "x.owner").alias("opened"))
+    whole = placed.join(dealt, [*stream, "seq"], "left").withColumn("name", F.coalesce("closed_track", "found", "opened"))
+    first = F.min("seq").over(Window.partitionBy(*stream, "name"))
+    number = F.dense_rank().over(Window.partitionBy(*stream).orderBy("first_of_track")) - 1
+    return whole.withColumn("first_of_track", first).select(*trace.columns, number.cast("long").alias("track"))
