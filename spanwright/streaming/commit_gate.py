@@ -42,47 +42,55 @@ class Config:
         return self.cap // 2, self.cap - (self.votes - 1) * self.stride
 
 
+Vote = tuple[int, int] | None
+
+
 @dataclass
 class CommitGate:
-    """Histories of candidate spans: per identity the last terminators, None where it was not seen."""
+    """The last votes of each candidate span, None where a stride did not see it.
+
+    A history is known by where its span was last seen to start; a span within ``delta`` of that is the same one.
+    """
 
     config: Config
-    histories: list[tuple[int, list[int | None]]] = field(default_factory=list)
+    histories: list[list[Vote]] = field(default_factory=list)
 
-    def _nearest(self, start: int) -> int | None:
-        near = [(abs(s - start), k) for k, (s, _) in enumerate(self.histories) if abs(s - start) <= self.config.delta]
-        return min(near)[1] if near else None
+    @staticmethod
+    def _last(votes: list[Vote]) -> tuple[int, int]:
+        return next(v for v in reversed(votes) if v is not None)
+
+    def _nearest(self, start: int, among) -> int | None:
+        """The history among the given ones that is nearest to ``start``, the older one on ties."""
+        gaps = {k: abs(self._last(self.histories[k])[0] - start) for k in among}
+        near = [k for k, gap in gaps.items() if gap <= self.config.delta]
+        return min(near, key=lambda k: (gaps[k], k), default=None)
+
+    def _own(self, span: tuple[int, int]) -> int | None:
+        return self._nearest(span[0], range(len(self.histories)))
 
     def vote(self, spans: list[tuple[int, int]]) -> None:
-        seen: dict[int, tuple[int, int]] = {}
-        for start, end in spans:
-            at = self._nearest(start)
-            if at is None or at in seen:
-                self.histories.append((start, []))
-                at = len(self.histories) - 1
-            seen[at] = (start, end)
-        kept = []
-        for k, (start, ends) in enumerate(self.histories):
-            ends = [*ends, seen[k][1] if k in seen else None][-self.config.votes :]
-            if any(e is not None for e in ends):
-                kept.append((seen[k][0] if k in seen else start, ends))
-        self.histories = kept
+        """One stride: each span votes in the nearest history that is still free, or opens one; unseen ones age."""
+        free, cast = dict.fromkeys(range(len(self.histories))), []
+        for span in spans:
+            at = self._nearest(span[0], free)
+            cast.append((at, span))
+            free.pop(at, None)
+        by_history = dict(cast)
+        aged = [[*votes, by_history.get(k)][-self.config.votes :] for k, votes in enumerate(self.histories)]
+        self.histories = [v for v in aged if any(x is not None for x in v)] + [[span] for at, span in cast if at is None]
 
     def stable(self, span: tuple[int, int]) -> bool:
-        at = self._nearest(span[0])
-        if at is None:
-            return False
-        ends = self.histories[at][1]
-        if len(ends) < self.config.votes or None in ends:
+        at = self._own(span)
+        votes = [] if at is None else self.histories[at]
+        if len(votes) < self.config.votes or None in votes:
             return False
-        ends = [*ends, span[1]]
+        ends = [end for _, end in (*votes, span)]
         return max(ends) - min(ends) <= self.config.delta
 
     def retire(self, span: tuple[int, int]) -> None:
-        own = self._nearest(span[0])
-        self.histories = [
-            h for k, h in enumerate(self.histories) if k != own and not all(e is None or e <= span[1] for e in h[1])
-        ]
+        """The committed span's own history goes, and any last seen to end no later than it does."""
+        own = self._own(span)
+        self.histories = [v for k, v in enumerate(self.histories) if k != own and self._last(v)[1] > span[1]]
 
 
 def read_spans(tags: list[int], first: int) -> tuple[list[tuple[int, int]], int | None]:
