@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
+import json
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,48 +19,84 @@ FUNCTION_WORDS = (
     "has had will would can could should may might must not no nor so such it its he she we they them his her their our us you your i me my there "
     "here what when where who whom which how why all any both each few more most other some only own same too very"
 ).split()
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 FOLDED = "‘’“”–— "
 FOLDED_TO = "''\"\"-- "
 TIMING = r"<\d{1,2}:\d{2}:\d{2}[.,]\d{3}>"
 TAG = r"<[^>]+>"
 BRACKETS = r"\[[^\[\]\n]{0,80}\]|\*[^*\n]{0,80}\*"
-NOISE_PAREN = r"(?i)\([^A-Za-z()\n]*((" + "|".join(NOISE_WORDS) + r")([^A-Za-z()\n]+|\)))+"
+PAREN = r"\([^()\n]{0,80}\)"
+ENTITY = r"&(?:#[0-9]{1,8};?|#[xX][0-9a-fA-F]{1,7};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+PREFIX = r"^[A-Z][A-Z\s_-]{1,30}:\s*"
+GLYPHS = "[♪♫♬♩►◄]+"
 LEADING = "^[\\s♪♫•·>»-]+"
 TRAILING = "[\\s♪♫•·]+$"
 SPEAKER = r"^[A-Z][A-Za-z0-9_'-]{0,20}(\s+[A-Z][A-Za-z0-9_'-]{0,20})?:\s+"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once; named in a lambda directly it could be computed for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def rewrite(text: Column, pattern: str, made: Callable[[Column], Column]) -> Column:
+    """``text`` with each match of ``pattern`` replaced by ``made`` of it; what stands between the matches is never looked at."""
+
+    def joined(parts: Column) -> Column:
+        put = F.zip_with(parts["between"], parts["found"], lambda x, y: F.concat(x, F.coalesce(made(y), F.lit(""))))
+        return F.array_join(put, "")
+
+    pieces = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.when(text.rlike(pattern), let(pieces, joined)).otherwise(text)
+
+
+@cache
+def _entity_names() -> str:
+    """Named entities, and the code points that stand for a Windows character, as a JSON map."""
+    named = {f"&{k}": v for k, v in html.entities.html5.items()}
+    return json.dumps(named | {str(k): html.unescape(f"&#{k};") for k in range(128, 160)})
+
+
+def unescape(text: Column) -> Column:
+    """Entities by name or number; an unknown name stays, and a number that is no character becomes the replacement mark."""
+    names = F.from_json(F.lit(_entity_names()), "map<string,string>")
+
+    def decoded(x: Column) -> Column:
+        digits = F.regexp_extract(x, r"^&#[xX]?([0-9a-fA-F]+)", 1)
+        number = F.when(x.rlike("^&#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
+        good = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        by_number = F.when(number.between(128, 159), F.try_element_at(names, number.cast("string"))).when(good, sign).otherwise("\ufffd")
+        return F.when(F.substring(x, 2, 1) == "#", by_number).otherwise(F.coalesce(F.try_element_at(names, x), x))
+
+    return F.when(F.contains(text, F.lit("&")), rewrite(text, ENTITY, decoded)).otherwise(text)
+
+
+def is_noise(text: Column) -> Column:
+    """True for a caption that says nothing but what is to be heard: no word is left, or only words for sounds."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), PREFIX, ""), GLYPHS, " ")
+    bare = F.lower(F.regexp_replace(bare, r"^[\[\](){}\s]+|[\[\](){}\s]+$", ""))
+    found = F.regexp_extract_all(bare, F.lit("[a-z]+"), F.lit(0))
+    return (bare == "") | ((F.size(found) > 0) & F.forall(found, lambda w: w.isin(NOISE_WORDS)))
+
+
 def clean_caption(text: Column) -> Column:
-    """Normalise a cue.  The order matters: entities are decoded before tags go, or coded markup would stay."""
-    t = F.regexp_replace(text, TIMING, " ")
-    for name, sign in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(sign))
+    """Normalise a cue.  The order matters: entities are decoded before tags go, or coded markup would stay.
+
+    A group in round brackets goes only if it is noise.  A pair of quotation marks around the whole goes, and so do
+    marks left over after the final stop.
+    """
+    t = unescape(F.regexp_replace(text, TIMING, " "))
     t = F.translate(t, FOLDED, FOLDED_TO)
     t = F.regexp_replace(t, TAG, " ")
     t = F.regexp_replace(t, BRACKETS, " ")
-    t = F.regexp_replace(t, NOISE_PAREN, " ")
+    t = rewrite(t, PAREN, lambda x: F.when(is_noise(x), " ").otherwise(x))
     t = F.regexp_replace(t, LEADING, "")
     t = F.regexp_replace(t, TRAILING, "")
     t = F.regexp_replace(t, SPEAKER, "")
     t = F.regexp_replace(t, r"\s+([,.!?;:])", "$1")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
-
-
-def clean_caption_sql(column: str) -> str:
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    t = f"regexp_replace({column}, {quoted(TIMING)}, ' ', 'g')"
-    for name, sign in ENTITIES:
-        t = f"replace({t}, {quoted(name)}, {quoted(sign)})"
-    t = f"translate({t}, {quoted(FOLDED)}, {quoted(FOLDED_TO)})"
-    for pattern, to in ((TAG, " "), (BRACKETS, " "), (NOISE_PAREN, " "), (LEADING, ""), (TRAILING, ""), (SPEAKER, ""), (r"\s+([,.!?;:])", r"\1"), (r"\s+", " ")):
-        t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(to)}, 'g')"
-    return f"trim({t})"
-
-
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once; named in a lambda directly it could be computed for each element."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    t = F.regexp_replace(t, r"""(?s)^(?:"(.*)"|'(.*[.!?])')$""", "$1$2")
+    return F.regexp_replace(F.trim(t), """(?<=[.!?])["']+$""", "")
 
 
 def _runs(array: Column, n: int) -> Column:

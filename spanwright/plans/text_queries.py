@@ -22,7 +22,24 @@ def query(sql: str | None):
     return add
 
 
-@query(f"select page_id, {tx.clean_caption_sql('html')} as cleaned from pages")
+#: Written from the rule, for the common entities and those that pages hold.
+CLEAN_SQL = r"""with a as (select page_id, regexp_replace(html, '<[0-9]{1,2}:[0-9]{2}:[0-9]{2}[.,][0-9]{3}>', ' ', 'g') as t from pages),
+b as (select page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') as t from (select page_id, replace(replace(t, '&copy;', '©'), '&middot;', '·') as t from a)),
+c as (select page_id, translate(t, '‘’“”–—' || chr(160), chr(39) || chr(39) || '""-- ') as t from b),
+d as (select page_id, regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '\[[^\[\]\n]{0,80}\]|\*[^*\n]{0,80}\*', ' ', 'g') as t from c),
+e as (select page_id, string_split_regex(t, '\([^()\n]{0,80}\)') as outer_, regexp_extract_all(t, '\([^()\n]{0,80}\)') as groups from d),
+f as (select page_id, array_to_string(list_transform(range(1, len(outer_) + 1), lambda i: outer_[i] || case when i > len(groups) then ''
+    when len(regexp_extract_all(lower(groups[i]), '[a-z]+')) > 0 and len(list_filter(regexp_extract_all(lower(groups[i]), '[a-z]+'), lambda w: w not in
+      ('applause', 'background', 'foreign', 'gentle', 'inaudible', 'laugh', 'laughs', 'laughter', 'music', 'piano', 'silence', 'silent'))) = 0 then ' '
+    when not regexp_matches(regexp_replace(groups[i], '[♪♫♬♩►◄]+', ' ', 'g'), '[^\[\](){}\s]') then ' ' else groups[i] end), '') as t from e),
+g as (select page_id, regexp_replace(regexp_replace(t, '^[\s♪♫•·>»-]+', ''), '[\s♪♫•·]+$', '') as t from f),
+h as (select page_id, regexp_replace(regexp_replace(t, '^[A-Z][A-Za-z0-9_''-]{0,20}(\s+[A-Z][A-Za-z0-9_''-]{0,20})?:\s+', ''), '\s+([,.!?;:])', '\1', 'g') as t from g),
+i as (select page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) as t from h),
+j as (select page_id, case when length(t) > 1 and ((t[1] = '"' and t[-1] = '"') or (t[1] = chr(39) and t[-1] = chr(39) and t[-2] in ('.', '!', '?'))) then trim(t[2:-2]) else t end as t from i)
+select page_id, regexp_replace(t, '([.!?])["'']+$', '\1') as cleaned from j"""
+
+
+@query(CLEAN_SQL)
 def clean_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.clean_caption(F.col("html")).alias("cleaned"))
 

@@ -49,9 +49,9 @@ def test_events(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps({"events": {"v": [{"start_s": 1, "end_s": 2}, {"start_s": 3.5, "end_s": 4, "text": ""}], "w": []}}, indent=1))
     got = rd.read_events(spark, str(tmp_path / "e.json"))
     assert sorted((r.video_id, r.idx, r.start_s, r.text, r.cap_cut) for r in got.collect()) == [("v", 0, 1.0, None, False), ("v", 1, 3.5, "", False)]
-    rd.write_events(got, str(tmp_path / "out"))
-    line = spark.read.json(str(tmp_path / "out")).first()
-    assert line.video_id == "v" and [e.start_s for e in line.events] == [1.0, 3.5]
+    rd.write_events(got, str(tmp_path / "out"), {"decode": "argmax"}, parts=3)
+    again = rd.read_events(spark, str(tmp_path / "out"))
+    assert again.dtypes == got.dtypes and sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
     (tmp_path / "bad.json").write_text("{}")
     with pytest.raises(Exception, match="no events"):
         rd.read_events(spark, str(tmp_path / "bad.json")).collect()

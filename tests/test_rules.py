@@ -112,3 +112,28 @@ def test_replay_equals_itself_by_stream(spark):
     frame = spark.createDataFrame([(s, i, t) for s in (1, 2) for i, t in enumerate(tags)], "stream_id long, frame int, tag int").repartition(3)
     got = edges(replay(frame, Config(stride=2, delta=1, votes=3, cap=40)), "stream_id", "start_frame", "end_frame")
     assert got == [(s, a, b) for s in (1, 2) for a, b in ((4, 13), (23, 29))]
+
+
+def test_clean_caption_brackets_entities_and_quotes(spark):
+    cases = {
+        "a (music video) b": "a (music video) b", "a (music b": "a (music b", "(♪♪♪) x (laughter) y": "x y", "caf&eacute; &#8217;s &#x41; &#150; &nosuch; &#0;": "café 's A - &nosuch; �",
+        '"Hello there."': "Hello there.", "'It is.'": "It is.", "'cause students'": "'cause students'", 'He said "no."': 'He said "no.', "(AUDIENCE: applause)": "(AUDIENCE: applause)",
+        "(" + "music " * 2000: "(" + "music " * 1999 + "music", "word (music) " * 20000: "word " * 19999 + "word",
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r[0]: r[1] for r in frame.select("t", tx.clean_caption(F.col("t"))).collect()}
+    assert {k[:40]: v for k, v in got.items()} == {k[:40]: v for k, v in cases.items()}
+    noise = spark.createDataFrame([("AUDIENCE: (APPLAUSE)",), ("[♪]",), ("(rock music)",), ("",), ("Hi",)], "t string")
+    assert [r[0] for r in noise.select(tx.is_noise(F.col("t"))).collect()] == [True, True, False, True, False]
+
+
+def test_gate_takes_the_nearest_free_history_and_retires_by_the_last_end():
+    gate = CommitGate(Config(delta=12, votes=3))
+    gate.vote([(0, 5), (20, 30)])
+    gate.vote([(8, 12), (9, 31)])
+    assert gate.histories == [[(0, 5), (8, 12)], [(20, 30), (9, 31)]]
+    gate = CommitGate(Config(delta=5, votes=3))
+    gate.vote([(10, 60)])
+    gate.vote([(10, 38)])
+    gate.retire((100, 40))
+    assert gate.histories == []
