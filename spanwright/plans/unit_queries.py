@@ -147,9 +147,9 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.class_weights(_labels(spark, sf_dir, _all_units(spark, sf_dir))).withColumn("weight", F.round("weight", 9))
 
 
-@query(f"""{LABELS_SQL}, x as (select *, lag(tag) over w as prev, min(case when tag <> 3 then frame end) over (w rows between 1 following and unbounded following) as e from gold_tags window w as (partition by stream_id order by frame)),
-s as (select stream_id, frame as opened_at, e as restart from x where (tag = 2 or (tag = 3 and prev = 1)) and e is not null)
-select s.* from s join gold_tags t on t.stream_id = s.stream_id and t.frame = restart where t.tag in (1, 2)""")
+@query(f"""{LABELS_SQL}, x as (select *, lag(tag) over w as prev, count(*) filter (where tag <> 3) over (w rows unbounded preceding) as closed from gold_tags window w as (partition by stream_id order by frame)),
+closers as (select stream_id, closed, frame as restart from x where tag in (1, 2))
+select x.stream_id, x.frame as opened_at, restart from x join closers c on c.stream_id = x.stream_id and c.closed = x.closed + 1 where x.tag = 2 or (x.tag = 3 and x.prev = 1)""")
 def restart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames where a complete span ends on a known tag: a stream may start anew there."""
     tags = _labels(spark, sf_dir, _all_units(spark, sf_dir))
