@@ -59,23 +59,7 @@ def error_types(
             F.max("depth").alias("depth"), F.coalesce(F.bool_or(bridged), F.lit(False)).alias("bridged"), (F.count("chunk") > 0).alias("held")
         )
 
-    first = units.select("video_id", F.col("unit").alias("first_unit"), F.col("start_ms").alias("run_start"))
-    last = units.select("video_id", F.col("unit").alias("last_unit"), F.col("end_ms").alias("run_end"))
-    spans = events.select("video_id", F.col("idx").alias("event"), "start_ms", "end_ms")
-    counted = (
-        matches.join(spans, ["video_id", "event"])
-        .join(first, ["video_id", "first_unit"])
-        .join(last, ["video_id", "last_unit"])
-        .select(
-            "video_id",
-            F.col("event").alias("idx"),
-            "first_unit",
-            "last_unit",
-            "tiou",
-            (F.col("last_unit") - F.col("first_unit") + 1).alias("run"),
-            F.greatest(F.abs(F.col("start_ms") - F.col("run_start")), F.abs(F.col("end_ms") - F.col("run_end"))).alias("edge_ms"),
-        )
-    )
+    counted = matching.with_edges(events, units, matches)
     by_unit = counted.withColumn("unit", F.explode(F.sequence("first_unit", "last_unit"))).drop("idx")
 
     def side(name: str, rows: DataFrame, key: str, found: DataFrame, bridged: Column, alone: str) -> DataFrame:

@@ -79,6 +79,20 @@ def match_segments(events: DataFrame, gold: DataFrame, least: float, bin_ms: int
     return made.select("video_id", "event", F.col("first_unit").alias("gold"), "tiou")
 
 
+def with_edges(events: DataFrame, units: DataFrame, matches: DataFrame) -> DataFrame:
+    """Matches with ``idx`` for their event, ``run`` for how many units they hold, and how far the farther edge is off (``edge_ms``).
+
+    ``units`` have ``unit``, their place in the video.
+    """
+    first = units.select("video_id", F.col("unit").alias("first_unit"), F.col("start_ms").alias("run_start"))
+    last = units.select("video_id", F.col("unit").alias("last_unit"), F.col("end_ms").alias("run_end"))
+    spans = events.select("video_id", F.col("idx").alias("event"), "start_ms", "end_ms")
+    off = F.greatest(F.abs(F.col("start_ms") - F.col("run_start")), F.abs(F.col("end_ms") - F.col("run_end")))
+    held = F.col("last_unit") - F.col("first_unit") + 1
+    joined = matches.join(spans, ["video_id", "event"]).join(first, ["video_id", "first_unit"]).join(last, ["video_id", "last_unit"])
+    return joined.select("video_id", F.col("event").alias("idx"), "first_unit", "last_unit", "tiou", held.alias("run"), off.alias("edge_ms"))
+
+
 def first_holder(events: DataFrame, units: DataFrame, cover: float, bin_ms: int) -> DataFrame:
     """For each unit the event that holds at least ``cover`` of it and was committed first; no commit time counts as last."""
     length = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1))
