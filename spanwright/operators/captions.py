@@ -95,6 +95,35 @@ def group_sentences(cues: DataFrame, trusted_gap_ms: int, pause_ms: int | None,
     return runs.select("video_id", F.explode(F.when(whole, F.array(unit)).otherwise(alone)).alias("u")).select("video_id", "u.*")
 
 
+def fold_sentence_starts(parts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``part`` with its first word in lower case where only its place gave it a capital: the word is in ``lexicon`` (word).
+
+    Words of one letter or in capitals throughout, the pronoun I, and a word before another capital one (a name) stay.
+    """
+    pronoun = "^I($|')"
+    found = tx.words(F.col("part"))
+    first, second = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+    named = F.coalesce(second.rlike(r"^\p{Lu}") & ~second.rlike(pronoun), F.lit(False))
+    folds = first.rlike(r"^\p{Lu}") & (F.length(first) > 1) & first.rlike(r"\p{Ll}") & ~first.rlike(pronoun) & ~named
+    judged = parts.withColumn("word", F.when(folds, F.lower(first)))
+    known = lexicon.select("word").distinct().withColumn("known", F.lit(True))
+    at = F.instr("part", first)
+    small = F.concat(F.substring("part", F.lit(1), at - 1), F.lower(F.substring(first, 1, 1)), F.substring("part", at + 1, F.length("part")))
+    return judged.join(known, "word", "left").withColumn("part", F.when(F.col("known"), small).otherwise(F.col("part"))).drop("word", "known")
+
+
+def repeated_texts(units: DataFrame, train: DataFrame, least_words: int, most_videos: int) -> DataFrame:
+    """(video_id, n): how many units of each video say what a training unit (video_id, text) says, word for word.
+
+    Only units of ``least_words`` or more count, and texts of more than ``most_videos`` training videos are no evidence.
+    """
+    said = F.array_join(tx.words(F.lower("text")), " ").alias("said")
+    known = train.select("video_id", said).where(F.size(F.split("said", " ")) >= least_words)
+    known = known.groupBy("said").agg(F.count_distinct("video_id").alias("videos")).where(F.col("videos") <= most_videos).select("said", F.lit(1).alias("hit"))
+    asked = units.select("video_id", said)
+    return asked.join(known, "said", "left").groupBy("video_id").agg(F.count("hit").alias("n"))
+
+
 def mark_unreliable(units: DataFrame, marks: DataFrame, bin_ms: int) -> DataFrame:
     """Units (with ``reliable``) that overlap a mark become unreliable, and each mark becomes an unreliable unit without a text."""
     hit = iv.overlap_join(units.select("video_id", "idx", "start_ms", "end_ms"), marks, bin_ms).select("video_id", "idx").distinct()

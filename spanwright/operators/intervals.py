@@ -133,3 +133,30 @@ def tiles(streams: DataFrame, tile_ms: int) -> DataFrame:
     at = streams.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
     start = F.col("idx") * tile_ms
     return at.select("video_id", "idx", start.alias("start_ms"), F.least(start + tile_ms, F.col("total_ms")).alias("end_ms"))
+
+
+def asof_nearest(points: DataFrame, marks: DataFrame) -> DataFrame:
+    """Each point (video_id, idx, at_ms) with the mark of its video that is nearest in time: mark, mark_ms; null without marks.
+
+    Ties go to the earlier mark, then the lower id.  One sort of both sides together, no pairs.
+    """
+    asked = points.select("video_id", "at_ms", F.col("idx").alias("point"), F.lit(None).cast("long").alias("mark"))
+    both = asked.unionByName(marks.select("video_id", "at_ms", F.lit(None).cast("long").alias("point"), F.col("idx").alias("mark")))
+    # of marks at one time the lowest id stands last before a point and first after it
+    seen = F.when(F.col("mark").isNotNull(), F.struct(F.col("at_ms").alias("t"), F.col("mark").alias("id")))
+    down = Window.partitionBy("video_id").orderBy("at_ms", F.col("point").isNotNull(), F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("video_id").orderBy("at_ms", F.col("point").isNull(), "mark").rowsBetween(0, Window.unboundedFollowing)
+    placed = both.withColumn("m", seen).withColumns({"before": F.last("m", True).over(down), "after": F.first("m", True).over(up)}).where("point is not null")
+    left, right = F.col("at_ms") - F.col("before.t"), F.col("after.t") - F.col("at_ms")
+    best = F.when(F.col("after").isNull() | (left <= right), F.col("before")).otherwise(F.col("after"))
+    return placed.withColumn("m", best).select("video_id", F.col("point").alias("idx"), F.col("m.id").alias("mark"), F.col("m.t").alias("mark_ms"))
+
+
+def holding_segment(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """Each point (video_id, idx, at_ms) with the start of the disjoint segment [seg_start, seg_end) that holds it; null outside all."""
+    asked = points.select("video_id", "at_ms", "idx", F.lit(None).cast("long").alias("end_ms"))
+    both = asked.unionByName(segments.select("video_id", F.col("seg_start").alias("at_ms"), F.lit(None).cast("long").alias("idx"), F.col("seg_end").alias("end_ms")))
+    w = Window.partitionBy("video_id").orderBy("at_ms", F.col("idx").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.when(F.col("end_ms").isNotNull(), F.struct(F.col("at_ms").alias("a"), F.col("end_ms").alias("b")))
+    placed = both.withColumn("s", F.last(opened, True).over(w)).where("idx is not null")
+    return placed.select("video_id", "idx", F.when(F.col("at_ms") < F.col("s.b"), F.col("s.a")).alias("seg_start"))

@@ -129,3 +129,49 @@ def flag_runs(flags: DataFrame, gap: int, least: int) -> DataFrame:
     numbered = on.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy("stream_id", "run").agg(F.min("frame").alias("a"), (F.max("frame") + 1).alias("b"))
     return runs.where(F.col("b") - F.col("a") >= least).select("stream_id", "a", "b")
+
+
+def drawn(a: Column, b: Column, seed: int) -> Column:
+    """A number in [0, 1) that looks random but follows from two ids and a seed alone, on any partitioning."""
+    mixed = (a * 7919 + b * 104_729 + seed * 15_485_863) % 2_147_483_648
+    for _ in range(2):
+        mixed = (mixed * 1_103_515_245 + 12_345) % 2_147_483_648
+    return mixed / 2_147_483_648.0
+
+
+def thinned(frames: DataFrame, streams: DataFrame, target_fps: float) -> DataFrame:
+    """Evenly fewer frames of streams (stream_id, stored, source_fps) that run over 5 % faster than the target; their times stay.
+
+    The first and the last frame stay too, halves go to the even frame, and ``place`` is the place in the result.
+    """
+    n = F.greatest(F.lit(1), F.bround(F.col("stored") * target_fps / F.col("source_fps")).cast("long"))
+    faster = F.col("source_fps") > target_fps * 1.05
+    places = streams.where("stored > 0").withColumn("n", F.when(faster, n).otherwise(F.col("stored")))
+    places = places.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    at = F.bround(F.col("place") * (F.col("stored") - 1) / F.greatest(F.lit(1), F.col("n") - 1)).cast("long")
+    return places.select("stream_id", "place", F.when(faster, at).otherwise(F.col("place")).alias("frame")).join(frames, ["stream_id", "frame"])
+
+
+def drop_frames(frames: DataFrame, most: float, seed: int) -> DataFrame:
+    """Without a drawn share, below ``most``, of each stream's inner frames; both ends stay."""
+    whole = Window.partitionBy("stream_id")
+    inner = (F.col("frame") > F.min("frame").over(whole)) & (F.col("frame") < F.max("frame").over(whole))
+    seen = frames.withColumn("inner", inner).withColumn("n_inner", F.count_if("inner").over(whole))
+    n_drop = F.floor(F.col("n_inner") * most * drawn(F.col("stream_id"), F.lit(0), seed))
+    order = Window.partitionBy("stream_id", "inner").orderBy(drawn(F.col("stream_id"), F.col("frame") + 1, seed), "frame")
+    ranked = seen.withColumn("place", F.row_number().over(order))
+    return ranked.where(~F.col("inner") | (F.col("place") > n_drop)).select(*frames.columns)
+
+
+def drop_parts(frames: DataFrame, parts: list[list[int]], probability: float, seed: int) -> DataFrame:
+    """Each part (places in ``kp``) of a stream goes unseen throughout with this probability."""
+    kp = F.col("kp")
+    for i, at in enumerate(parts):
+        gone = drawn(F.col("stream_id"), F.lit(i + 1), seed) < probability
+        unseen = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(0.0).alias("c"))
+        kp = F.when(gone, F.transform(kp, _masked(at, unseen))).otherwise(kp)
+    return frames.withColumn("kp", kp)
+
+
+def _masked(at: list[int], unseen):
+    return lambda p, k: F.when(k.isin(at), unseen(p)).otherwise(p)

@@ -98,6 +98,30 @@ def flips(a: DataFrame, b: DataFrame, margin: float) -> DataFrame:
     )
 
 
+def segment_scores(matches: DataFrame, events: DataFrame, units: DataFrame, thresholds: list[float]) -> DataFrame:
+    """One row a threshold: two-level precision, recall and F1 of single spans, what stayed alone, and the overlaps of the matches.
+
+    ``matches`` were made once at the lowest threshold; as the best overlap goes first, those above a higher one are the same.
+    """
+    spark = events.sparkSession
+    grid = F.broadcast(spark.createDataFrame([(float(h),) for h in thresholds], "threshold double"))
+    n_events = events.groupBy("video_id").agg(F.count("*").alias("n_events"))
+    n_units = units.groupBy("video_id").agg(F.count("*").alias("n_units"))
+    sizes = n_events.agg(F.count("*").alias("v_events"), F.sum("n_events").alias("n_events")).crossJoin(n_units.agg(F.count("*").alias("v_units"), F.sum("n_units").alias("n_units")))
+    parts = matches.join(n_events, "video_id").join(n_units, "video_id").select("tiou", (1 / F.col("n_events")).alias("p"), (1 / F.col("n_units")).alias("r"))
+    found = parts.join(grid, F.col("tiou") >= F.col("threshold")).groupBy("threshold").agg(
+        F.count("*").alias("n"), F.sum("p").alias("p"), F.sum("r").alias("r"), F.round(F.avg("tiou"), 9).alias("mean_tiou"),
+        *[F.round(F.percentile("tiou", F.lit(q)), 9).alias(f"p{round(100 * q)}_tiou") for q in (0.0, 0.25, 0.5, 0.75, 1.0)],
+    )
+    whole = grid.join(F.broadcast(found), "threshold", "left").crossJoin(F.broadcast(sizes))
+    p, r = (F.coalesce(F.col(c) / F.col(n), F.lit(0.0)) for c, n in (("p", "v_events"), ("r", "v_units")))
+    n = F.coalesce("n", F.lit(0))
+    return whole.select(
+        "threshold", F.round(p, 9).alias("precision"), F.round(r, 9).alias("recall"), F.round(_f1(p, r), 9).alias("f1"),
+        (F.col("n_events") - n).alias("unmatched_events"), (F.col("n_units") - n).alias("missed_units"), "mean_tiou", *[f"p{q}_tiou" for q in (0, 25, 50, 75, 100)],
+    )
+
+
 def held_latency(holders: DataFrame) -> DataFrame:
     """Median, mean and nearest-rank 90 % of commit minus end of unit, in seconds; rank by half-even rounding."""
     values = holders.where("commit_ms is not null").select(((F.col("commit_ms") - F.col("end_ms")) / 1000.0).alias("x"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwright.operators import intervals as iv
 from spanwright.operators import errors, matching, scoring
+from spanwright.plans import span_queries
 from spanwright.plans.score_queries import CLASSES_SQL, COVER, GRID, TAUS, _captions, _classes
 from spanwright.plans.span_queries import BIN, CHUNK_GAP, CHUNKS_SQL, HOUR, MATCH_SQL, MOST_UNITS
 from spanwright.sources.tables import SPANS_SQL, gold, predicted
@@ -24,6 +25,8 @@ def query(sql: str | None):
     return add
 
 
+#: The walk over single spans, without its last line.
+ORACLE_SEGMENTS = span_queries.ORACLE_SQL["segment_matches"].removeprefix(f"with recursive {SPANS_SQL}").rsplit("select video_id, event", 1)[0].replace("tiou >= 0.2", "tiou >= 0.3")
 CELLS_SQL = f"""values ({TAUS[0]}::bigint), ({TAUS[1]})"""
 COUNTED_SQL = """,
 counted as (select m.*, m.last_unit - m.first_unit + 1 as run, greatest(abs(p.start_ms - a.start_ms), abs(p.end_ms - b.end_ms)) as edge_ms
@@ -120,3 +123,17 @@ def unit_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, events = _units(spark, sf_dir), predicted(spark, sf_dir)
     rows = lambda e: _counted(units, e).select("video_id", F.explode(F.sequence("first_unit", "last_unit")).alias("unit"), F.col("tiou").alias("score"))
     return scoring.flips(rows(events), rows(events.where(f"not {CUT}")), 0.01)
+
+
+@query(ORACLE_SEGMENTS + """, m as (select threshold, tiou, w.video_id from walk w, (values (0.3::double), (0.5), (0.7)) t(threshold) where won and tiou >= threshold),
+ne as (select video_id, count(*) as k from pred group by 1), nu as (select video_id, count(*) as k from gold group by 1),
+r as (select threshold, (select avg(coalesce(c, 0)::double / ne.k) from ne left join (select video_id, count(*) as c from m where m.threshold = t.threshold group by 1) x using (video_id)) as p,
+  (select avg(coalesce(c, 0)::double / nu.k) from nu left join (select video_id, count(*) as c from m where m.threshold = t.threshold group by 1) x using (video_id)) as r from (values (0.3::double), (0.5), (0.7)) t(threshold))
+select r.threshold, round(any_value(p), 9) as precision, round(any_value(r), 9) as recall, round(case when any_value(p + r) > 0 then 2 * any_value(p * r) / any_value(p + r) else 0 end, 9) as f1,
+  (select count(*) from pred) - count(tiou) as unmatched_events, (select count(*) from gold) - count(tiou) as missed_units, round(avg(tiou), 9) as mean_tiou, round(min(tiou), 9) as p0_tiou, round(quantile_cont(tiou, 0.25), 9) as p25_tiou,
+  round(quantile_cont(tiou, 0.5), 9) as p50_tiou, round(quantile_cont(tiou, 0.75), 9) as p75_tiou, round(max(tiou), 9) as p100_tiou
+from r left join m using (threshold) group by r.threshold""")
+def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of single spans matched one to one, by threshold."""
+    units, events = gold(spark, sf_dir), predicted(spark, sf_dir)
+    return scoring.segment_scores(matching.match_segments(events, units, 0.3, BIN), events, units, GRID)

@@ -94,6 +94,29 @@ def resampled_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("stream_id", "frame", shown.alias("shown"), F.round(F.get("kp", F.lit(0))["x"], 6).alias("x"))
 
 
+def _drawn_sql(a: str, b: str, seed: int) -> str:
+    step = "({} * 1103515245 + 12345) % 2147483648"
+    return f"({step.format('(' + step.format(f'(({a} * 7919 + {b} * 104729 + {seed * 15_485_863}) % 2147483648)') + ')')}) / 2147483648.0::double"
+
+
+@query(f"""{FRAMES_SQL}, s as (select stream_id, count(*) as stored from f group by 1), n as (select *, greatest(1, round_even(stored * 24.0::double / 30, 0)::bigint) as n from s)
+select stream_id, k as place, round_even(k * (stored - 1)::double / greatest(1, n - 1), 0)::bigint as frame from n, unnest(range(0, n)) t(k)""")
+def thinned_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of 30 frames a second with as many frames as at 24."""
+    frames = _frames(spark, sf_dir)
+    streams = frames.groupBy("stream_id").agg(F.count("*").alias("stored")).withColumn("source_fps", F.lit(30.0))
+    return poses.thinned(frames, streams, 24.0).select("stream_id", "place", "frame")
+
+
+@query(f"""{FRAMES_SQL}, s as (select *, frame > 0 and frame < max(frame) over (partition by stream_id) as inner_ from f), r as (select *, row_number() over (partition by stream_id, inner_ order by {_drawn_sql("stream_id", "(frame + 1)", 7)}, frame) as place,
+  floor((count(*) filter (where inner_) over (partition by stream_id)) * 0.4::double * {_drawn_sql("stream_id", "0", 7)}) as n_drop from s)
+select stream_id, frame, len(list_filter(range(1, 22), lambda i: kp[i].c > 0.3 and not (i between 10 and 15 and {_drawn_sql("stream_id", "1", 7)} < 0.5) and not (i between 16 and 21 and {_drawn_sql("stream_id", "2", 7)} < 0.5))) as n_seen from r where not inner_ or place > n_drop""")
+def dropped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that lost up to 40 % of their inner frames and, half of them, a part; how many points each frame still shows."""
+    made = poses.drop_parts(poses.drop_frames(_frames(spark, sf_dir), 0.4, 7), [at for at, _ in PARTS], 0.5, 7)
+    return made.select("stream_id", "frame", F.size(F.filter("kp", lambda p: p["c"] > poses.SEEN)).cast("long").alias("n_seen"))
+
+
 @query(None)
 def decoded_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as 16 frames of four scores, decoded under a prior on durations; tests compare with all paths."""

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from spanwright.functions import levels
 from spanwright.operators import intervals as iv
+from spanwright.operators import captions as cp
 from spanwright.operators import tracks, windows
-from spanwright.operators.captions import split_units
 from spanwright.plans.score_queries import ALL_SQL, _all_units, _streams
 from spanwright.plans.span_queries import BIN, HOUR, MATCH_SQL, TRUSTED_GAP, _matches
 from spanwright.plans.unit_queries import SEGMENTS_SQL, _labels_sql, _segments
 from spanwright.sources.tables import SPANS_SQL, gold, predicted, spans, spread, table
+from spanwright.streaming import display
 
 DAYS5 = 120 * HOUR
 RUN_GAP, MOST_RUN = 12 * HOUR, 72 * HOUR
@@ -102,7 +103,7 @@ select v.video_id, idx, start_ms, end_ms from (select distinct video_id from seg
 def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted units of the clean segments, back on the clock of their video; a video without any keeps a row."""
     segments = _segments(spark, sf_dir)
-    local = split_units(_all_units(spark, sf_dir).where("reliable"), segments, _streams(spark, sf_dir), BIN)
+    local = cp.split_units(_all_units(spark, sf_dir).where("reliable"), segments, _streams(spark, sf_dir), BIN)
     return windows.to_source(local.where("reliable"), segments)
 
 
@@ -227,3 +228,54 @@ def outcome_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"), F.round(F.avg((F.col("outcome") != "missed").cast("double")), 9).alias("located")
     )
     return bins.select("from_h").join(counted, "from_h", "left").fillna(0, ["n"])
+
+
+@query(""", p as (select video_id, idx, start_ms as at_ms from pred)
+select p.video_id, p.idx, (select arg_min(g.idx, (abs(g.start_ms - p.at_ms), g.start_ms, g.idx)) from gold g where g.video_id = p.video_id) as mark from p""")
+def nearest_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold unit that starts nearest to each predicted span's start."""
+    at = lambda d: d.select("video_id", "idx", F.col("start_ms").alias("at_ms"))
+    return iv.asof_nearest(at(predicted(spark, sf_dir)), at(gold(spark, sf_dir))).drop("mark_ms")
+
+
+@query(f"""{SEGMENTS_SQL} select p.video_id, p.idx, s.seg_start from captions p left join segments s on s.video_id = p.video_id and p.start_ms >= s.seg_start and p.start_ms < s.seg_end""")
+def caption_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean segment in which each caption starts."""
+    points = spans(spark, sf_dir).where(F.col("kind").isin("signup", "purchase")).select("video_id", "idx", F.col("start_ms").alias("at_ms"))
+    return iv.holding_segment(points, _segments(spark, sf_dir))
+
+
+WORDS_SQL = "'[A-Za-z][\\p{L}\\p{N}_'']*'"
+
+
+@query(f"""with l as (select doc_id as video_id, unnest(string_split(text, chr(10))) as text from documents), w as (select video_id, regexp_extract_all(lower(text), {WORDS_SQL}) as w from l),
+known as (select array_to_string(w, ' ') as said from w where video_id % 5 <> 0 and len(w) >= 4 group by 1 having count(distinct video_id) <= 20)
+select video_id, count(k.said) as n from w left join known k on k.said = array_to_string(w.w, ' ') where video_id % 5 = 0 group by 1""", plain=True)
+def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every fifth document that a line of the others says, too."""
+    lines = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("video_id"), F.explode(F.split("text", "\n", -1)).alias("text"))
+    return cp.repeated_texts(lines.where("video_id % 5 = 0"), lines.where("video_id % 5 <> 0"), 4, 20)
+
+
+@query(f"""with t as (select conv_id, turn, text, regexp_extract_all(text, {WORDS_SQL}) as w from conversations),
+lex as (select lower(x) as word from (select unnest(regexp_extract_all(text, {WORDS_SQL})) as x from conversations) where regexp_matches(x, '^[a-z]') group by 1 having count(*) > 3),
+j as (select t.*, l.word is not null and regexp_matches(w[1], '^[A-Z]') and length(w[1]) > 1 and w[1] <> upper(w[1]) and not regexp_matches(w[1], '^I($|'')') and not coalesce(regexp_matches(w[2], '^[A-Z]') and not regexp_matches(w[2], '^I($|'')'), false) as folds from t left join lex l on l.word = lower(w[1]))
+select conv_id, turn, case when folds then text[1:instr(text, w[1]) - 1] || lower(w[1][1]) || text[instr(text, w[1]) + 1:] else text end as part from j""", plain=True)
+def folded_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with their first word in lower case where turns write it so over three times elsewhere."""
+    turns = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.col("text").alias("part"))
+    each = turns.select(F.explode(cp.tx.words(F.col("part"))).alias("x")).where(F.col("x").rlike("^[a-z]"))
+    return cp.fold_sentence_starts(turns, each.groupBy(F.lower("x").alias("word")).count().where("count > 3"))
+
+
+@query("""with w as (select conv_id * 1000 + turn as track, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from conversations),
+h as (select track, k as seq, [case when (length(w[i]) + (case when i > 4 * k - 4 then k else 0 end)) % 5 = 0 then '|' else w[i] end for i in range(1, 4 * k + 1)] as tokens from w, unnest(range(1, len(w) // 4 + 1)) u(k)),
+p as (select track, seq, list_transform(string_split(array_to_string([case when t = '|' then chr(10) else t end for t in tokens], ' '), chr(10)), lambda x: trim(x)) as parts from h),
+q as (select *, lag(parts) over (partition by track order by seq) as was from p)
+select track, count(*) filter (where was is not null and (len(parts) <> len(was) or len(list_filter(range(1, len(parts)), lambda j: parts[j] <> was[j] and parts[j + 1] <> was[j + 1])) > 0)) as n_flips from q group by 1""", plain=True)
+def boundary_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screens that show four words more each time, with separators that move among the newest."""
+    words = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("track"), levels.tokens(F.col("text")).alias("w"))
+    grown = words.where(F.size("w") >= 4).withColumn("seq", F.explode(F.sequence(F.lit(1), F.floor(F.size("w") / 4).cast("int"))))
+    shown = F.transform(F.slice("w", F.lit(1), 4 * F.col("seq")), lambda x, i: F.when((F.length(x) + F.when(i > 4 * F.col("seq") - 5, F.col("seq")).otherwise(0)) % 5 == 0, "|").otherwise(x))
+    return display.boundary_flips(grown.select("track", "seq", shown.alias("tokens")), "|")

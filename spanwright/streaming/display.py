@@ -148,6 +148,26 @@ def track_scores(screens: DataFrame) -> DataFrame:
     )
 
 
+def without_separator(tokens: Column, separator: str) -> Column:
+    return F.filter(tokens, lambda t: t != separator)
+
+
+def boundary_flips(hypotheses: DataFrame, separator: str) -> DataFrame:
+    """(track, n_flips): screens (track, seq, tokens) whose separators are not those of the screen before.
+
+    One came or went, or one moved, so that the texts on both of its sides changed; a change within one text is none.
+    Tokens hold no spaces.
+    """
+    marked = F.array_join(F.transform("tokens", lambda t: F.when(t == separator, "\n").otherwise(t)), " ")
+    parts = F.transform(F.split(marked, "\n", -1), F.trim)
+    w = Window.partitionBy("track").orderBy("seq")
+    seen = hypotheses.withColumn("parts", parts).withColumn("was", F.lag("parts").over(w))
+    changed = F.zip_with("parts", "was", lambda a, b: ~a.eqNullSafe(b))
+    moved = F.exists(F.zip_with("changed", F.slice("changed", 2, F.greatest(F.size("changed") - 1, F.lit(0))), lambda a, b: a & F.coalesce(b, F.lit(False))), lambda x: x)
+    flip = F.col("was").isNotNull() & ((F.size("parts") != F.size("was")) | moved)
+    return seen.withColumn("changed", changed).groupBy("track").agg(F.count_if(flip).alias("n_flips"))
+
+
 SUMS = ["n_tracks", "n_erased", "n_final_tokens", "n_phantoms", "latency_s", "revealed", "prefix_error", "contradicted", "vanished"]
 
 

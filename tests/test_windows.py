@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwright.functions import levels
-from spanwright.operators import tracks, windows
+from spanwright.operators import captions, poses, tracks, windows
+from spanwright.operators import intervals as iv
+from spanwright.streaming import display
 
 UNITS = "video_id long, idx long, start_ms long, end_ms long, reliable boolean, text string"
 
@@ -85,3 +87,46 @@ def test_copy_check_is_enforced(spark):
     for split, copy in (("train", None), ("dev", "9")):
         with pytest.raises(Exception, match="copies|copy check"):
             status(made(split, copy))
+
+
+def test_asof(spark):
+    points = spark.createDataFrame([(1, 0, 10), (1, 1, 15), (1, 2, 0), (1, 3, 99), (2, 4, 5)], "video_id long, idx long, at_ms long")
+    marks = spark.createDataFrame([(1, 7, 10), (1, 6, 10), (1, 8, 20)], "video_id long, idx long, at_ms long")
+    assert {r.idx: r.mark for r in iv.asof_nearest(points, marks).collect()} == {0: 6, 1: 6, 2: 6, 3: 8, 4: None}
+    segments = spark.createDataFrame([(1, 0, 10), (1, 15, 50)], "video_id long, seg_start long, seg_end long")
+    assert {r.idx: r.seg_start for r in iv.holding_segment(points, segments).collect()} == {0: None, 1: 15, 2: 0, 3: None, 4: None}
+    assert iv.asof_nearest(points.where("false"), marks).count() == 0
+
+
+def test_folded_starts(spark):
+    parts = ["Well it is", "BYE now", "New Zealand is", "I'm here", "Deaf people", "I", "", None, "- Well, I know"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(parts)], "id long, part string")
+    words = spark.createDataFrame([("well",), ("bye",), ("new",), ("i'm",), ("well",)], "word string")
+    got = {r.id: r.part for r in captions.fold_sentence_starts(frame, words).collect()}
+    assert [got[i] for i in range(9)] == ["well it is", "BYE now", "New Zealand is", "I'm here", "Deaf people", "I", "", None, "- well, I know"]
+
+
+def test_boundary_flips(spark):
+    screens = ["a b", "a | b", "a | c", "x | y", "x | y | z", "x y"]
+    frame = spark.createDataFrame([(1, i, s.split()) for i, s in enumerate(screens)] + [(2, 0, [])], "track long, seq long, tokens array<string>")
+    # a separator comes, one side changes, both sides change, another comes, both go
+    assert {r.track: r.n_flips for r in display.boundary_flips(frame, "|").collect()} == {1: 4, 2: 0}
+
+
+def test_repeated_texts(spark):
+    train = [(1, "the same four words"), (2, "boiler plate said often"), (3, "boiler plate said often"), (1, "too short")]
+    units = [(9, "The same, four words!"), (9, "boiler plate said often"), (8, "too short"), (8, None)]
+    make = lambda rows: spark.createDataFrame(rows, "video_id long, text string")
+    assert {r.video_id: r.n for r in captions.repeated_texts(make(units), make(train), 4, 1).collect()} == {9: 1, 8: 0}
+
+
+def test_frames_that_stay(spark):
+    frames = spark.range(100).selectExpr("1L as stream_id", "id as frame", "array(struct(0.5d as x, 0.5d as y, 1.0d as c), struct(0.1d as x, 0.1d as y, 1.0d as c)) as kp")
+    streams = spark.createDataFrame([(1, 100, 30.0)], "stream_id long, stored long, source_fps double")
+    got = sorted((r.place, r.frame) for r in poses.thinned(frames, streams, 15.0).collect())
+    assert [p for p, _ in got] == list(range(50)) and got[0][1] == 0 and got[-1][1] == 99
+    assert poses.thinned(frames, streams, 29.0).count() == 100
+    left = [r.frame for r in poses.drop_frames(frames, 0.9, 3).collect()]
+    assert {0, 99} <= set(left) and 10 <= len(left) < 100
+    assert sorted(left) == sorted(r.frame for r in poses.drop_frames(frames.repartition(7), 0.9, 3).collect())
+    assert {r.kp[1].c for r in poses.drop_parts(frames, [[1]], 1.0, 3).collect()} == {0.0}
