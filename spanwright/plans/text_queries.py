@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwright.functions import text as tx
-from spanwright.operators import dedup, labels, textmetrics
+from spanwright.operators import dedup, labels, sampling, textmetrics
 from spanwright.sources.tables import SPANS_SQL, spans, spread, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -192,15 +192,21 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(None)
+TRACED_MS = 24 * 40 * 3_600_000
+#: the checksum bit by bit: each character is mixed in, then eight bits are shifted out
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(x) + 1), lambda i: ascii(x[i])::bigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: 0::bigint)), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+
+@query(f"""with {SPANS_SQL}, s as (select video_id, video_id::varchar as x, max(end_ms) as total_ms from spans group by 1), c as (select video_id, total_ms, {CRC_SQL} as crc from s),
+b as (select *, coalesce(sum(total_ms) over (order by crc, video_id rows between unbounded preceding and 1 preceding), 0)::bigint as before_ms from c)
+select video_id, total_ms, before_ms from b where before_ms < {TRACED_MS}""")
 def traced_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole streams in order of the CRC of their id until the hours are reached; the one that crosses is the last."""
-    hours = 24 * 40
     streams = spans(spark, sf_dir).groupBy("video_id").agg(F.max("end_ms").alias("total_ms"))
-    order = F.crc32(F.col("video_id").cast("string").cast("binary"))
-    w = Window.partitionBy().orderBy(order, "video_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("total_ms").over(w), F.lit(0))
-    return streams.withColumn("before_ms", before).where(F.col("before_ms") < hours * 3_600_000).select("video_id", "total_ms", "before_ms")
+    drawn = streams.withColumn("crc", F.crc32(F.col("video_id").cast("string").cast("binary")))
+    placed = sampling.places(drawn, "crc", ["video_id"], F.col("total_ms"))
+    return placed.where(F.col("before") < TRACED_MS).select("video_id", "total_ms", F.col("before").alias("before_ms"))
 
 
 @query(f"""with {SPANS_SQL}, grid as (select h, t from (values (-2), (-1), (0), (1), (2)) a(h), (values (-2), (-1), (0), (1), (2)) b(t)),
