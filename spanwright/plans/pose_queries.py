@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanwright.operators import decoding, poses
+from spanwright.operators import decoding, poses, release
 from spanwright.sources.tables import table
 
 BODY = list(range(9))
@@ -123,3 +123,73 @@ def decoded_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1), lambda k: F.transform(F.slice("embedding", k * 4 + 1, 4), lambda x: x * 8))
     streams = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("stream_id"), rows.cast("array<array<double>>").alias("scores"))
     return streams.select("stream_id", decoding.decode(-0.5, 0.6, 1.5, 8.0)("scores").alias("tags"))
+
+
+CLIP, FPS = 16, 25.0
+RELEASE_PARTS = [(list(range(9, 15)), 9), (list(range(15, 21)), 15)]
+SHAPED_SQL = f"""{FRAMES_SQL}, s as (select *, frame // {CLIP} as clip, kp[1] as a, kp[2] as b, kp[1].c > 0.3 and kp[2].c > 0.3 as shown from f),
+c as (select stream_id, clip, avg((a.x + b.x) / 2) as cx, avg((a.y + b.y) / 2) as cy, avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) as wide from s where shown group by 1, 2),
+k as (select stream_id, clip, frame, i, kp[i + 1] as p, case when i between 9 and 14 then kp[10] when i > 14 then kp[16] end as r from s, unnest(range(0, 21)) t(i)),
+sh as (select k.stream_id, frame, i, case when i in (6, 7) then 0 when r is not null then (p.x - r.x) / wide else (p.x - cx) / wide end as x, case when i in (6, 7) then 0 when r is not null then (p.y - r.y) / wide else (p.y - cy) / wide end as y,
+  wide is not null and (i in (6, 7) or (p.c > 0.3 and coalesce(r.c, 1) > 0.3)) as ok from k left join c using (stream_id, clip)),
+st as (select i, avg(x) as mx, avg(y) as my, sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0)) as sx, sqrt(greatest(avg(y * y) - avg(y) * avg(y), 0)) as sy from sh where ok group by 1)"""
+
+
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return release.by_shoulders(_frames(spark, sf_dir), CLIP, RELEASE_PARTS, [6, 7])
+
+
+@query(f"{SHAPED_SQL} select i::int as point, round(mx, 6) as mx, round(my, 6) as my, round(sx, 6) as sx, round(sy, 6) as sy from st")
+def point_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = release.point_table(_shaped(spark, sf_dir))
+    return found.select("point", *[F.round(c, 6).alias(c) for c in ("mx", "my", "sx", "sy")])
+
+
+@query(f"""{SHAPED_SQL}, n as (select stream_id, frame, i, case when ok then (x - mx) / case when sx > 1e-6 then sx else 1 end else 0 end as x, case when ok then (y - my) / case when sy > 1e-6 then sy else 1 end else 0 end as y from sh left join st using (i)),
+v as (select *, coalesce(x - lag(x) over w, 0) * {FPS} as vx, coalesce(y - lag(y) over w, 0) * {FPS} as vy from n window w as (partition by stream_id, i order by frame))
+select stream_id, frame, round(sum(x * (i + 1)), 4) as x, round(sum(y * (i + 1)), 4) as y, round(sum(vx * (i + 1)), 3) as vx, round(sum(vy * (i + 1)), 3) as vy from v group by 1, 2""")
+def release_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised points and their velocities of every frame, in sums weighted by place."""
+    shaped = _shaped(spark, sf_dir)
+    made = release.with_velocity(release.standardised(shaped, release.point_table(shaped)), FPS)
+    total = lambda a, c: F.aggregate(F.transform(a, lambda p, i: p[c] * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return made.select(
+        "stream_id", "frame", F.round(total("xy", "x"), 4).alias("x"), F.round(total("xy", "y"), 4).alias("y"), F.round(total("v", "x"), 3).alias("vx"), F.round(total("v", "y"), 3).alias("vy")
+    )
+
+
+RATES, STORED_FPS, LINE, SHARE = [24.0, 25.0], 30.0, 3.0, 0.25
+LINES_SQL = ", ".join(f"sqrt(pow(sum(x * cos({q} * frame)), 2) + pow(sum(x * sin({q} * frame)), 2)) / sum(x) as {name}" for name, q in [("l24", 2 * 3.141592653589793 * 0.2), ("l25", 2 * 3.141592653589793 / 6), *[(f"q{k}", 2 * 3.141592653589793 * q) for k, q in enumerate(release.QUIET)]])
+
+
+@query(f"""{FRAMES_SQL}, n as (select stream_id, count(*) as n from f group by 1),
+g as (select stream_id, s as frame, case when stream_id % 2 = 0 then s * 4 // 5 else s end as shown from n, unnest(range(0, case when stream_id % 2 = 0 then n * 5 // 4 else n end)) t(s)),
+d as (select g.stream_id, g.frame, kp from g join f on f.stream_id = g.stream_id and f.frame = g.shown), b as (select *, lag(kp) over (partition by stream_id order by frame) as q from d),
+m as (select stream_id, frame, median(case when kp[i].c > 0.3 and q[i].c > 0.3 then sqrt(pow(kp[i].x - q[i].x, 2) + pow(kp[i].y - q[i].y, 2)) end) as motion from b, unnest(range(1, 22)) t(i) group by 1, 2),
+x as (select stream_id, frame, coalesce(motion, median(motion) over (partition by stream_id)) as x from m), l as (select stream_id, {LINES_SQL} from x group by 1),
+p as (select stream_id, case when l24 >= l25 then 5 else 6 end as n from l where greatest(l24, l25) > {LINE} * list_sort([{", ".join(f"q{k}" for k in range(7))}])[4]),
+w as (select m.*, row_number() over (partition by m.stream_id, frame // n order by motion nulls last, frame) <= round_even(count(*) over (partition by m.stream_id, frame // n) / n::double, 0) as goes from m join p using (stream_id)),
+e as (select stream_id, {SHARE} * median(motion) filter (where not goes) as most, median(motion) filter (where goes) as gone from w group by 1)
+select stream_id, frame from w join e using (stream_id) where gone <= most and (not goes or motion is null or motion > most)""")
+def content_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even streams of 24 frames a second, filled to 30 by repeats, without their repeats again; odd ones have none."""
+    frames = _frames(spark, sf_dir)
+    even = F.col("stream_id") % 2 == 0
+    sizes = frames.groupBy("stream_id").agg(F.count("*").alias("n"))
+    last = F.when(even, F.floor(F.col("n") * 5 / 4)).otherwise(F.col("n")) - 1
+    filled = sizes.select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("at"))
+    shown = filled.withColumn("frame", F.when(even, F.floor(F.col("at") * 4 / 5)).otherwise(F.col("at")))
+    stored = shown.join(frames, ["stream_id", "frame"]).select("stream_id", F.col("at").alias("frame"), "kp")
+    return release.content_frames(poses.motion(stored), STORED_FPS, RATES, LINE, SHARE)
+
+
+@query(f"""{FRAMES_SQL}, s as (select stream_id, count(*) as stored from f group by 1),
+g as (select stream_id, k, least(floor(k * 30.0::double / 24 + 0.5), stored - 1)::bigint as shown from s, unnest(range(0, ceil(stored * 24.0::double / 30)::bigint)) t(k)),
+e as (select stream_id, frame from f where len(list_filter(kp[1:9], lambda p: p.c > 0.3)) < 6), n as (select *, case when frame - lag(frame) over (partition by stream_id order by frame) - 1 < 2 then 0 else 1 end as fresh from e),
+r as (select *, sum(fresh) over (partition by stream_id order by frame rows unbounded preceding) as run from n), runs as (select stream_id, min(frame) as a, max(frame) + 1 as b from r group by stream_id, run having max(frame) + 1 - min(frame) >= 2),
+i as (select distinct g.stream_id, k from g join runs on runs.stream_id = g.stream_id and shown >= a and shown < b), j as (select *, k - row_number() over (partition by stream_id order by k) as isle from i)
+select stream_id, min(k) as a, max(k) + 1 as b from j group by stream_id, isle""")
+def grid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of ``empty_runs``, stored at 30 frames a second, on the grid of 24."""
+    stored = _frames(spark, sf_dir).groupBy("stream_id").agg(F.count("*").alias("stored")).withColumn("grid", F.ceil(F.col("stored") * 24 / 30))
+    return release.grid_runs(empty_runs(spark, sf_dir), stored, 30, 24)
