@@ -134,7 +134,9 @@ def boundary_hits(events: DataFrame, edges: DataFrame, taus_ms: list[int]) -> Da
     candidates = pairs.withColumn("distance", distance).where(F.col("distance") <= most)
     candidates = candidates.withColumns({"first_unit": F.col("idx"), "last_unit": F.col("idx")})
     order = F.struct("distance", "at_ms", "caption_ms", "first_unit", "event")
-    paired = matching.greedy(candidates, ["video_id", "side"], order, ["event", "first_unit", "last_unit", "distance"])
+    reach = {"from_ms": F.least("at_ms", "caption_ms"), "to_ms": F.greatest("at_ms", "caption_ms")}
+    split = matching.islands(candidates.withColumns(reach), ["video_id", "side"], "from_ms", "to_ms")
+    paired = matching.greedy(split, ["video_id", "side", "island"], order, ["event", "first_unit", "last_unit", "distance"])
     found = edges.join(paired.select("video_id", "side", F.col("first_unit").alias("idx"), "distance"), ["video_id", "side", "idx"], "left")
     spark = events.sparkSession
     grid = F.broadcast(spark.createDataFrame([(t,) for t in taus_ms], "tau_ms long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.operators import intervals as iv
@@ -37,11 +37,22 @@ def _taken(state: Column, c: Column) -> Column:
     )
 
 
+def islands(candidates: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
+    """Candidates with ``island``: runs of those whose spans [start, end] touch, numbered in each group.
+
+    Give a candidate the span of its event and its units together: then two that share any of them are on one island.
+    """
+    w = Window.partitionBy(*key).orderBy(start, end)
+    fresh = F.col(start) > F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = candidates.withColumn("_fresh", F.coalesce(fresh, F.lit(False)).cast("long"))
+    return marked.withColumn("island", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+
+
 def greedy(candidates: DataFrame, key: list[str], order: Column, fields: list[str]) -> DataFrame:
     """Walk each group's candidates in ``order`` and keep those whose event and units are free.
 
     ``order`` is a struct; the candidates of a group are sorted by it and folded by one higher-order function, all in
-    the JVM.  Prune candidates by the lowest threshold before: a group's candidates are held in one row.
+    the JVM.  Prune candidates by the lowest threshold before and split groups by ``islands``: a group's candidates are held in one row.
     """
     sorted_ = F.sort_array(F.collect_list(F.struct(order.alias("by"), *fields)))
     kind = "array<struct<" + ",".join(f"{f}:{dict(candidates.dtypes)[f]}" for f in fields) + ">>"
@@ -54,6 +65,11 @@ def greedy(candidates: DataFrame, key: list[str], order: Column, fields: list[st
     return grouped.select(*key, F.explode(walked).alias("m")).select(*key, "m.*")
 
 
+def _reach() -> list[Column]:
+    """The span of both sides of a joined pair."""
+    return [F.least("start_ms", "other_start_ms").alias("from_ms"), F.greatest("end_ms", "other_end_ms").alias("to_ms")]
+
+
 def match_items(events: DataFrame, items: DataFrame, least: float, bin_ms: int) -> DataFrame:
     """Best temporal overlap first, ties to the lower event, then the lower item; an item blocks all its units."""
     pairs = iv.overlap_join(events, items, bin_ms).withColumn("tiou", iv.tiou()).where(F.col("tiou") >= least)
@@ -63,19 +79,22 @@ def match_items(events: DataFrame, items: DataFrame, least: float, bin_ms: int)
         F.col("other_first_unit").alias("first_unit"),
         F.col("other_last_unit").alias("last_unit"),
         "tiou",
+        *_reach(),
     )
     order = F.struct(-F.col("tiou"), F.col("event"), F.col("first_unit"), F.col("last_unit"))
-    return greedy(candidates, ["video_id"], order, ["event", "first_unit", "last_unit", "tiou"])
+    split = islands(candidates, ["video_id"], "from_ms", "to_ms")
+    return greedy(split, ["video_id", "island"], order, ["event", "first_unit", "last_unit", "tiou"]).drop("island")
 
 
 def match_segments(events: DataFrame, gold: DataFrame, least: float, bin_ms: int) -> DataFrame:
     """Plain one-to-one matching; among equal overlaps the higher event and the higher gold index go first."""
     pairs = iv.overlap_join(events, gold, bin_ms).withColumn("tiou", iv.tiou()).where(F.col("tiou") >= least)
     candidates = pairs.select(
-        "video_id", F.col("idx").alias("event"), F.col("other_idx").alias("first_unit"), F.col("other_idx").alias("last_unit"), "tiou"
+        "video_id", F.col("idx").alias("event"), F.col("other_idx").alias("first_unit"), F.col("other_idx").alias("last_unit"), "tiou", *_reach()
     )
     order = F.struct(-F.col("tiou"), -F.col("event"), -F.col("first_unit"))
-    made = greedy(candidates, ["video_id"], order, ["event", "first_unit", "last_unit", "tiou"])
+    split = islands(candidates, ["video_id"], "from_ms", "to_ms")
+    made = greedy(split, ["video_id", "island"], order, ["event", "first_unit", "last_unit", "tiou"])
     return made.select("video_id", "event", F.col("first_unit").alias("gold"), "tiou")
 
 

@@ -184,12 +184,12 @@ def content_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{FRAMES_SQL}, s as (select stream_id, count(*) as stored from f group by 1),
-g as (select stream_id, k, least(floor(k * 30.0::double / 24 + 0.5), stored - 1)::bigint as shown from s, unnest(range(0, ceil(stored * 24.0::double / 30)::bigint)) t(k)),
+g as (select stream_id, k, least(floor(k * 30.0::double / 24 + 0.5), stored - 1)::bigint as shown from s, unnest(range(0, greatest(0, ceil((stored - 0.5::double) * 24 / 30)::bigint))) t(k)),
 e as (select stream_id, frame from f where len(list_filter(kp[1:9], lambda p: p.c > 0.3)) < 6), n as (select *, case when frame - lag(frame) over (partition by stream_id order by frame) - 1 < 2 then 0 else 1 end as fresh from e),
 r as (select *, sum(fresh) over (partition by stream_id order by frame rows unbounded preceding) as run from n), runs as (select stream_id, min(frame) as a, max(frame) + 1 as b from r group by stream_id, run having max(frame) + 1 - min(frame) >= 2),
 i as (select distinct g.stream_id, k from g join runs on runs.stream_id = g.stream_id and shown >= a and shown < b), j as (select *, k - row_number() over (partition by stream_id order by k) as isle from i)
 select stream_id, min(k) as a, max(k) + 1 as b from j group by stream_id, isle""")
 def grid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of ``empty_runs``, stored at 30 frames a second, on the grid of 24."""
-    stored = _frames(spark, sf_dir).groupBy("stream_id").agg(F.count("*").alias("stored")).withColumn("grid", F.ceil(F.col("stored") * 24 / 30))
+    stored = _frames(spark, sf_dir).groupBy("stream_id").agg(F.count("*").alias("stored")).withColumn("grid", poses.grid_length(F.col("stored"), F.lit(24), F.lit(30)))
     return release.grid_runs(empty_runs(spark, sf_dir), stored, 30, 24)
