@@ -40,14 +40,30 @@ def merged_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.merge_rolling(spans(spark, sf_dir).withColumnRenamed("kind", "text"))
 
 
-@query(None)
+CUE_WORDS = 12
+RUNNING_SQL = rf""", w as (select conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w from conversations where text is not null),
+cues as (select conv_id as video_id, turn * 600000 + k * 4000 as s, turn * 600000 + k * 4000 + 3500 as e, array_to_string(w[k * {CUE_WORDS} + 1:k * {CUE_WORDS} + {CUE_WORDS}], ' ') as text from w, unnest(range(0, ceil(len(w) / {CUE_WORDS}.0)::bigint)) t(k)),
+cased as (select video_id, bool_or(regexp_matches(text, '\p{{Lu}}')) and bool_or(regexp_matches(text, '\p{{Ll}}')) as cased from cues group by 1),
+near as (select cues.*, cased, lag(text) over w as before, s - lag(e) over w as gap, regexp_matches(regexp_extract(text, '\p{{L}}'), '^\p{{Ll}}') as small, regexp_matches(regexp_extract(text, '[A-Za-z][\p{{L}}\p{{N}}_'']*'), '^I($|'')') as me
+  from cues join cased using (video_id) window w as (partition by video_id order by s)),
+runs as (select *, sum(case when coalesce(gap <= 8000 and (gap <= 500 or not cased or small or me) and case when regexp_matches(before, '(?i)(^|[^a-z])(dr|mr|mrs|ms|st|prof|rev|sen|gen|gov|lt|col|capt|sgt|mt)\.$') then true
+  when regexp_matches(before, '\.\.[")\]'']*$') then small or starts_with(text, '..') when regexp_matches(before, '[.!?][")\]'']*$') then cased and small else true end, false) then 0 else 1 end) over (partition by video_id order by s rows unbounded preceding) as run from near),
+joined as (select video_id, run, min(s) as s, max(e) as e, count(*) as n, string_agg(text, ' ' order by s) as j, list_filter(string_split(string_agg(text, ' ' order by s), ' '), lambda x: x <> '') as words from runs group by 1, 2),
+judged as (select *, regexp_matches(j, '[.!?][")\]'']*$') and list_max(list_transform(string_split_regex(j, '[.!?]+[")\]'']*\s+'), lambda x: len(list_filter(string_split(x, ' '), lambda y: y <> '')))) <= 60 as ended,
+  len(words) / greatest((e - s) / 1000.0::double, 0.001) >= 0.3 and not (len(words) <= 2.5::double * n and len(list_filter(words, lambda x: regexp_matches(x, '^\P{{L}}*\p{{Lu}}'))) >= 0.6::double * len(words)) as prose from joined)
+select video_id, s as start_ms, e as end_ms, case when ended then regexp_replace(j, '([^.])\.([")\]'']*)[ \t]+([^ \t])', '\1,\2 \3', 'g') else j end as text, n as n_cues from judged where n = 1 or (ended and prose)
+union all select r.video_id, r.s, r.e, r.text, 1 from runs r join judged g on g.video_id = r.video_id and g.run = r.run where not (n = 1 or (ended and prose))"""
+
+
+@query(RUNNING_SQL)
 def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation as cues with pauses of 0.5 to 9.5 seconds; their texts decide what runs on."""
-    gap = F.col("turn") % 4 * 3000 + 500
-    turns = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("video_id"), F.col("turn").alias("idx"), (F.col("turn") * 60_000).alias("start_ms"), (F.col("turn") * 60_000 + 60_000 - gap).alias("end_ms"), "text"
-    )
-    return cp.group_sentences(turns, 8000, 500)
+    """Turns as cues of twelve words, half a second apart within a turn, so that sentences run over cues."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null").withColumn("w", F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+    cut = turns.where(F.size("w") > 0).select("*", F.posexplode(F.sequence(F.lit(1), F.size("w"), F.lit(CUE_WORDS))).alias("k", "at"))
+    start = (F.col("turn") * 600_000 + F.col("k") * 4000).cast("long")
+    words = F.array_join(F.slice("w", F.col("at"), F.lit(CUE_WORDS)), " ")
+    cues = cut.select(F.col("conv_id").alias("video_id"), (F.col("turn") * 1000 + F.col("k")).alias("idx"), start.alias("start_ms"), (start + 3500).alias("end_ms"), words.alias("text"))
+    return cp.group_sentences(cues, 8000, 500)
 
 
 @query(f"""{ALL_SQL}, w as (select * from units where reliable), marks as (select * from units where not reliable)
