@@ -67,3 +67,19 @@ def shown_prefix(items: Column, stops: list) -> Column:
 def join_units(text: Column, separator: str) -> Column:
     """The texts of the units of one span with single spaces for what stands between them."""
     return F.array_join(tokens(F.replace(text, F.lit(separator), F.lit(" "))), " ")
+
+
+def base_id(name: Column) -> Column:
+    """A file's name without folders, its last suffix, and the number of its segment."""
+    stem = F.regexp_replace(F.regexp_replace(name, "^.*/", ""), r"(?<=.)\.[^.]*$", "")
+    return F.regexp_replace(stem, r"_segment_\d+", "")
+
+
+def slug(label: Column) -> Column:
+    """A label for file names: letters and digits in lower case, anything else an underscore, none at the ends."""
+    return F.lower(F.regexp_replace(F.regexp_replace(label, r"[^\p{L}\p{N}]", "_"), "^_+|_+$", ""))
+
+
+def unit_text(text: Column, separator: str) -> Column:
+    """The text of a span with its units parted by single spaces."""
+    return F.trim(F.regexp_replace(F.replace(text, F.lit(separator), F.lit(" ")), r"\s+", " "))

@@ -91,3 +91,18 @@ def tally(statuses: DataFrame) -> DataFrame:
     """Videos by split and status, with the split's total beside each; the parts sum to it by construction."""
     counted = statuses.groupBy("split", "status").agg(F.count("*").alias("n"))
     return counted.withColumn("n_split", F.sum("n").over(Window.partitionBy("split")))
+
+
+def reconciled(rows: DataFrame, key: str, buckets: dict[str, Column]) -> DataFrame:
+    """(status, n, n_ambiguous, n_total): every id in the first of ``buckets`` that holds for one of its rows, else in ``unaccounted``.
+
+    The counts add up to n_total, the number of ids; ``n_ambiguous`` of a bucket's ids also fit a later one.
+    """
+    holds = {f"_{k}": F.coalesce(F.bool_or(c), F.lit(False)) for k, c in enumerate(buckets.values())}
+    ids = rows.groupBy(key).agg(*[c.alias(name) for name, c in holds.items()])
+    first = F.lit("unaccounted")
+    for k, status in reversed(list(enumerate(buckets))):
+        first = F.when(F.col(f"_{k}"), status).otherwise(first)
+    n = sum((F.col(name).cast("int") for name in holds), F.lit(0))
+    counts = ids.select(first.alias("status"), (n > 1).alias("_more")).groupBy("status").agg(F.count("*").alias("n"), F.count_if("_more").alias("n_ambiguous"))
+    return counts.withColumn("n_total", F.sum("n").over(Window.partitionBy()))  # a row a status

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanwright.operators import decoding, poses, release
+from spanwright.operators import decoding, hands, poses, release
 from spanwright.sources.tables import table
 
 BODY = list(range(9))
@@ -193,3 +193,31 @@ def grid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of ``empty_runs``, stored at 30 frames a second, on the grid of 24."""
     stored = _frames(spark, sf_dir).groupBy("stream_id").agg(F.count("*").alias("stored")).withColumn("grid", poses.grid_length(F.col("stored"), F.lit(24), F.lit(30)))
     return release.grid_runs(empty_runs(spark, sf_dir), stored, 30, 24)
+
+
+@query(f"""{FRAMES_SQL}, h as (select stream_id, frame, i, kp[4] as a, kp[5] as b, kp[i + 1] as h, kp[4].c > 0.3 as sa, kp[5].c > 0.3 as sb from f, unnest(range(9, 15)) t(i)),
+o as (select stream_id, frame, i - 9 as at_, case when sa then sqrt(pow(a.x - h.x, 2) + pow(a.y - h.y, 2)) end as wa, case when sb then sqrt(pow(b.x - h.x, 2) + pow(b.y - h.y, 2)) end as wb from h),
+l as (select stream_id, frame, at_, wa as way from o where wa < 0.2 union all select stream_id, frame, null, 0 from f), r as (select stream_id, frame, at_, wb as way from o where wb < 0.2 union all select stream_id, frame, null, 0 from f),
+p as (select l.stream_id, l.frame, l.at_ as lh, r.at_ as rh, row_number() over (partition by l.stream_id, l.frame order by (l.at_ is not null)::int + (r.at_ is not null)::int desc, l.way + r.way, l.at_ nulls first, r.at_ nulls first) as n
+  from l join r using (stream_id, frame) where l.at_ is distinct from r.at_ or l.at_ is null)
+select stream_id, frame, lh::int as "left", rh::int as "right" from p where n = 1""")
+def claimed_hands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points 3 and 4 play wrists, 9 to 14 the hands found in the picture."""
+    wrist = lambda k: F.when(F.get("kp", F.lit(k))["c"] > poses.SEEN, F.get("kp", F.lit(k)))
+    made = _frames(spark, sf_dir).withColumn("hand", hands.claimed(wrist(3), wrist(4), F.slice("kp", 10, 6), 0.2))
+    return made.select("stream_id", "frame", "hand.left", "hand.right")
+
+
+@query(f"""{FRAMES_SQL}, s as (select stream_id, median(case when kp[1].c > 0.3 and kp[2].c > 0.3 then sqrt(pow(kp[1].x - kp[2].x, 2) + pow(kp[1].y - kp[2].y, 2)) end) as size from f group by 1),
+b as (select *, lag(kp) over (partition by stream_id order by frame) as q from f),
+v as (select stream_id, frame, size, list_max([case when kp[i].c > 0.1 and q[i].c > 0.1 and (kp[i].c > 0.5) = (q[i].c > 0.5) then sqrt(pow(kp[i].x - q[i].x, 2) + pow(kp[i].y - q[i].y, 2)) end for i in [10, 16]]) as way from b join s using (stream_id)),
+a as (select stream_id, frame, case when size > 0 and way is not null then least(way * {FPS} / size, 20) end as act from v),
+m as (select stream_id, frame, case when count(act) over w > 1.5 then avg(act) over w end as act from a window w as (partition by stream_id order by frame rows between 1 preceding and 1 following))
+select stream_id, frame, round(case when count(act) over w > 2.5 then avg(act) over w end, 6) as activity from m window w as (partition by stream_id order by frame rows between 2 preceding and 2 following)""")
+def hand_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points 9 and 15 play the hands; a sure point is of another kind than an unsure one."""
+    p = lambda k: F.get("kp", F.lit(k))
+    hand = lambda k: F.when(p(k)["c"] > 0.1, F.struct(p(k)["x"].alias("x"), p(k)["y"].alias("y"), (p(k)["c"] > 0.5).alias("kind")))
+    width = F.when((p(0)["c"] > poses.SEEN) & (p(1)["c"] > poses.SEEN), F.sqrt(F.pow(p(0)["x"] - p(1)["x"], 2) + F.pow(p(0)["y"] - p(1)["y"], 2)))
+    seen = _frames(spark, sf_dir).select("stream_id", "frame", F.array(hand(9), hand(15)).alias("hands"), width.alias("width"))
+    return hands.activity(seen, FPS, 20.0, [3, 5]).withColumn("activity", F.round("activity", 6))

@@ -279,3 +279,20 @@ def boundary_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     grown = words.where(F.size("w") >= 4).withColumn("seq", F.explode(F.sequence(F.lit(1), F.floor(F.size("w") / 4).cast("int"))))
     shown = F.transform(F.slice("w", F.lit(1), 4 * F.col("seq")), lambda x, i: F.when((F.length(x) + F.when(i > 4 * F.col("seq") - 5, F.col("seq")).otherwise(0)) % 5 == 0, "|").otherwise(x))
     return display.boundary_flips(grown.select("track", "seq", shown.alias("tokens")), "|")
+
+
+@query("""select page_id, regexp_replace(regexp_replace(regexp_replace(url || '_segment_' || page_id || '.en.npz', '^.*/', ''), '\\.npz$', ''), '_segment_[0-9]+', '', 'g') as base, lower(trim(regexp_replace(url, '[^\\p{L}\\p{N}]', '_', 'g'), '_')) as slug,
+  trim(regexp_replace(replace(url, '/', ' '), '\\s+', ' ', 'g')) as words from pages""", plain=True)
+def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as the names of segment files, as labels, and as texts of units."""
+    name = F.concat("url", F.lit("_segment_"), F.col("page_id").cast("string"), F.lit(".en.npz"))
+    return table(spark, sf_dir, "pages").select("page_id", levels.base_id(name).alias("base"), levels.slug(F.col("url")).alias("slug"), levels.unit_text(F.col("url"), "/").alias("words"))
+
+
+@query("""with i as (select lang, source, bool_or(n_chars > 4000) as a, bool_or(n_chars < 200) as b, bool_or(doc_id % 7 = 0) as c from documents group by 1, 2),
+s as (select source, bool_or(a) as a, bool_or(b) as b, bool_or(c) as c from i group by 1)
+select case when a then 'long' when b then 'short' when c then 'seventh' else 'unaccounted' end as status, count(*) as n, count(*) filter (where a::int + b::int + c::int > 1) as n_ambiguous, (sum(count(*)) over ())::bigint as n_total from s group by 1""", plain=True)
+def reconciled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source in the first bucket that one of its documents fits."""
+    docs = table(spark, sf_dir, "documents")
+    return tracks.reconciled(docs, "source", {"long": F.col("n_chars") > 4000, "short": F.col("n_chars") < 200, "seventh": F.col("doc_id") % 7 == 0})
