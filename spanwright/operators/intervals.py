@@ -36,8 +36,9 @@ def tiou(a: str = "", b: str = "other_") -> Column:
 
 
 def overlap_join(left: DataFrame, right: DataFrame, bin_ms: int, how_long: str = "other_") -> DataFrame:
-    """All pairs of one video that overlap; ``right``'s columns get the prefix ``how_long``.
+    """All pairs of one video that overlap: each starts before the other ends; ``right``'s columns get the prefix ``how_long``.
 
+    An empty span overlaps what it lies inside of, with a shared length of 0, but no span that it only borders on.
     Both sides are cut into bins of ``bin_ms``, so the join has (video, bin) as its key and a long stream is not
     quadratic in itself.  A pair that meets in several bins counts in the first bin of the later start.
     """
@@ -48,7 +49,8 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_ms: int, how_long: str =
     a = left.select("*", bins(""))
     b = other.select("*", bins(how_long))
     meet = F.floor(F.greatest("start_ms", how_long + "start_ms") / bin_ms) == F.col("bin")
-    return a.join(b, ["video_id", "bin"]).where(meet & (overlap_ms("", how_long) > 0)).drop("bin")
+    touch = (F.col("start_ms") < F.col(how_long + "end_ms")) & (F.col(how_long + "start_ms") < F.col("end_ms"))
+    return a.join(b, ["video_id", "bin"]).where(meet & touch).drop("bin")
 
 
 def chunks(units: DataFrame, gap_ms: int) -> DataFrame:

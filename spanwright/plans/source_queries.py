@@ -53,7 +53,7 @@ m as (select *, case when start_ms >= a and start_ms < b then case when end_ms >
 select seen, count(*) as n, count(*) filter (where reliable and end_ms - start_ms >= {HOUR} and start_ms >= a and end_ms + 60000 <= b) as n_complete from m group by 1""")
 def unit_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How windows of five days show the units that touch them, and how many they hold whole."""
-    met = iv.overlap_join(_all_units(spark, sf_dir), iv.tiles(_streams(spark, sf_dir), DAYS5), BIN, "win_")
+    met = iv.overlap_join(_all_units(spark, sf_dir), iv.tiles(_streams(spark, sf_dir), DAYS5), BIN, "win_").where(iv.overlap_ms("", "win_") > 0)
     seen = met.withColumn("seen", windows.visibility("win_start_ms", "win_end_ms"))
     return seen.groupBy("seen").agg(F.count("*").alias("n"), F.count_if(windows.is_complete("win_start_ms", "win_end_ms", 60_000, HOUR)).alias("n_complete"))
 
