@@ -1,7 +1,8 @@
 """What a viewer would have seen: reveal policies over successive hypotheses of one sentence, and their scores.
 
 A hypothesis has track, seq (order), at_ms, tokens, conf and committed; a committed one is the last of its track.
-Everything is windows over one track, so one shuffle by track serves all policies.
+Everything is windows over one track, so one shuffle by track serves all policies.  Policies are told apart by
+lengths of prefixes, so that no text is copied for each of them.
 """
 
 from __future__ import annotations
@@ -73,11 +74,11 @@ def replay(hyps: DataFrame) -> DataFrame:
     seen = seen.withColumns({f"frozen_{n}": F.when(F.col("committed"), F.col("tokens")).otherwise(frozen(n)) for n in AGREEMENT})
     visible = F.col("next_ms").isNull() | (F.col("next_ms") != F.col("at_ms"))
     size = F.size("tokens").cast("long")
-    none = F.lit(None).cast("long")
+    none = None
     zero = F.lit(0).cast("long")
     reveals = [("commit_only", zero, False, none)]
     for n in AGREEMENT:
-        reveals += [(f"agreement_n{n}", F.coalesce(f"agreed_{n}", zero), True, none), (f"frozen_agreement_n{n}", none, False, F.lit(n).cast("long"))]
+        reveals += [(f"agreement_n{n}", F.coalesce(f"agreed_{n}", zero), True, none), (f"frozen_agreement_n{n}", none, False, f"frozen_{n}")]
     for tau in TAUS:
         at = round(100 * tau)
         reveals += [(f"confidence_n{n}_tau{at}", _held(n, tau) if n == 1 else F.when(F.col(f"tokens_{n - 1}").isNotNull(), _held(n, tau)).otherwise(zero), True, none) for n in CONFIDENCE]
@@ -86,33 +87,46 @@ def replay(hyps: DataFrame) -> DataFrame:
             for n in AGREEMENT
         ]
     reveals += [(f"mask_k{k}", F.greatest(size - k, zero), False, none) for k in HELD_BACK]
-    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), k.alias("k"), F.lit(grows).alias("grows"), f.alias("frozen")) for p, k, grows, f in reveals])).alias("r")
-    frozen_text = F.coalesce(*[F.when(F.col("frozen") == n, F.col(f"frozen_{n}")) for n in AGREEMENT])
-    flat = seen.select("track", "seq", "at_ms", "committed", "commit", "tokens", "final", visible.alias("visible"), *[f"frozen_{n}" for n in AGREEMENT], rows)
-    flat = flat.select("track", "seq", "at_ms", "committed", "commit", "tokens", "final", "visible", "r.*", *[f"frozen_{n}" for n in AGREEMENT])
-    by_policy = Window.partitionBy("track", "policy").orderBy("seq")
-    most_so_far = F.max("k").over(by_policy.rowsBetween(Window.unboundedPreceding, 0))
-    length = F.when(F.col("committed"), size).when(F.col("grows"), F.least(most_so_far, size)).otherwise(F.col("k"))
-    flat = flat.withColumn("n", length)
-    flat = flat.where("visible").withColumn("screen", F.coalesce(frozen_text, F.slice("tokens", F.lit(1), F.col("n").cast("int"))))
-    before = F.coalesce(F.lag("screen").over(by_policy), F.array().cast("array<string>"))
-    differs = F.size(F.filter(F.zip_with("screen", "final", lambda a, b: a != b), lambda x: x))
-    surplus = F.greatest(F.size("screen") - F.size("final"), F.lit(0))
-    return flat.select(
-        "track",
-        "policy",
-        "seq",
-        "at_ms",
-        "commit",
-        F.size("screen").cast("long").alias("shown"),
-        common_prefix(F.col("screen"), F.col("final")).cast("long").alias("own"),
-        (differs + surplus).cast("long").alias("wrong"),
-        common_prefix(before, F.col("screen")).cast("long").alias("kept"),
-        F.size(before).cast("long").alias("shown_before"),
-        F.size("final").cast("long").alias("n_final"),
-        F.lead("seq").over(by_policy).isNull().alias("last"),
+    lengths, is_frozen = [], {}
+    for at, (_, k, grows, frozen_text) in enumerate(reveals):
+        if frozen_text is not None:
+            is_frozen[at] = frozen_text
+            lengths.append(F.size(frozen_text).cast("long"))
+        else:
+            lengths.append(F.when(F.col("committed"), size).otherwise(F.least(F.max(k).over(so_far), size) if grows else k))
+    # a screen is the first tokens of a hypothesis, so its length says it all; texts are never multiplied by the policies
+    seen = seen.withColumn("shown", F.array(*lengths)).where(visible)
+    none_yet = F.array().cast("array<string>")
+    was = {f"was_{c}": F.lag(c).over(w) for c in ["tokens", "shown", *(f"frozen_{n}" for n in AGREEMENT)]}
+    seen = seen.withColumns(was | {"last": F.lead("seq").over(w).isNull()})
+    unlike = F.zip_with("tokens", "final", lambda a, b: F.coalesce(a != b, F.lit(False)))
+    unlike = F.filter(F.transform(unlike, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    seen = seen.withColumns(
+        {
+            "agrees": common_prefix(F.col("tokens"), F.col("final")),
+            "stays": common_prefix(F.coalesce("was_tokens", none_yet), F.col("tokens")),
+            "unlike": unlike,
+            "n_final": F.size("final").cast("long"),
+        }
     )
 
+    def counts(at: int, policy: str) -> Column:
+        shown, before = F.col("shown")[at], F.coalesce(F.col("was_shown")[at], zero)
+        if at in is_frozen:
+            screen = F.col(is_frozen[at])
+            own, kept = common_prefix(screen, F.col("final")), common_prefix(F.coalesce("was_" + is_frozen[at], none_yet), screen)
+            differs = F.size(F.filter(F.zip_with(screen, "final", lambda a, b: a != b), lambda x: x))
+        else:
+            own, kept = F.least(shown, "agrees"), F.least(before, shown, F.col("stays"))
+            differs = F.size(F.filter("unlike", lambda i: i < shown))
+        wrong = differs + F.greatest(shown - F.col("n_final"), zero)
+        named = {"shown": shown, "own": own, "wrong": wrong, "kept": kept, "shown_before": before}
+        return F.struct(F.lit(policy).alias("policy"), *[c.cast("long").alias(k) for k, c in named.items()])
+
+    rows = F.explode(F.array(*[counts(at, p) for at, (p, _, _, _) in enumerate(reveals)])).alias("r")
+    flat = seen.select("track", "seq", "at_ms", "commit", "n_final", "last", rows)
+    return flat.select("track", "r.policy", "seq", "at_ms", "commit", "r.shown", "r.own", "r.wrong", "r.kept", "r.shown_before", "n_final", "last")
+
 
 def track_scores(screens: DataFrame) -> DataFrame:
     """One row a track and policy, in whole numbers and sums, so that rows of any groups of tracks add up."""
