@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import written
+from spanwright.llm.common import discard, written
 
 
 class Forest:
@@ -82,7 +82,8 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        now = written(_star(_star(now, large=True), large=False), "edges")
+        last, now = now, written(_star(_star(now, large=True), large=False), "edges")
+        discard(last)
         after = sign(now)
         if after == before:
             break

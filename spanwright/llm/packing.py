@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import give_back, written
+from spanwright.llm.common import TEXT_ROWS, give_back, written
 
 CAPACITY = 2048
 NEARLY_FULL = 0.99
@@ -206,7 +206,7 @@ def _merge_level(items: DataFrame, level: int, capacity: int) -> DataFrame:
 
 def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, nearly_full: float = NEARLY_FULL) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row."""
-    pieces = written(pack_locally(documents, tokenizer_path, capacity), "pieces")
+    pieces = written(pack_locally(documents, tokenizer_path, capacity), "pieces", TEXT_ROWS)
     enough = math.ceil(nearly_full * capacity)
     items = pieces.where((F.col("bin_offset") == 0) & (F.col("bin_fill") < enough)).select(
         "bin", F.col("bin_fill").alias("fill"), "node"

@@ -21,7 +21,8 @@ up: the relations between sets stand in for the pairs.
 
 A list of over ``LIST_ROWS`` entries, counted exactly, and a cell of over ``CELL_ROWS`` sets are dealt out.  The sets of the commonest
 label are cut into blocks that never meet each other; each meets the blocks of the other sets, and those meet
-one another.  With one large group of near copies that is linear in the group; only for sets that no label joins it is
+one another.  Lists and cells go in passes, whole ones each, so that disk holds a bounded part of the entries and sets
+at a time whatever the corpus.  With one large group of near copies that is linear in the group; only for sets that no label joins it is
 quadratic, in blocks.
 
 Defined results: null text, and text without words, has the empty set and links with nothing; fewer than ``width`` words
@@ -31,12 +32,14 @@ an id, and links with nothing by itself.  Repeated rows get equal results.  Wher
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import discard, give_back, id_bitmap, in_bitmap, written
+from spanwright.llm.common import TEXT_ROWS, discard, give_back, id_bitmap, in_bitmap, written
 from spanwright.llm.components import Forest, connected
 
 WIDTH = 3
@@ -48,6 +51,9 @@ MINIMA = 3
 HOT_ROWS = 256
 LIST_ROWS = 4096
 CELL_ROWS = 2048
+#: Index entries, and shingles of cells, that are on disk at a time: larger ones are done in as many passes as it takes.
+ENTRIES_A_PASS = 1 << 26
+SHINGLES_A_PASS = 1 << 27
 BLOCK = 64
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -196,7 +202,7 @@ def hot_links(classes: DataFrame, documents: DataFrame, width: int, percent: int
     asked = written(asked, "hot-members")
     if asked.isEmpty():
         return asked.select(F.col("rep").alias("u"), F.col("leader").alias("v"))
-    sets = written(sets_of(documents, asked.select("rep").union(asked.select("leader")), width), "hot-sets")
+    sets = written(sets_of(documents, asked.select("rep").union(asked.select("leader")), width), "hot-sets", TEXT_ROWS)
     # a leader's set goes to each part of its bucket once
     sizes = asked.groupBy("leader").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64(F.lit("part"), "rep"), F.col("parts")).cast("int")
@@ -357,10 +363,16 @@ def _sorted_lists(entries: DataFrame) -> DataFrame:
     return entries.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "n", "rep")
 
 
-def candidate_forest(classes: DataFrame, percent: int) -> DataFrame:
-    """(u, v) pairs of classes whose components contain every link that the labels do not know of."""
+def candidate_forest(classes: DataFrame, percent: int) -> list[DataFrame]:
+    """(u, v) pairs of classes, a table for each pass; their components contain every link that the labels do not know of."""
+    n = max(1, -(-(classes.agg(F.sum(F.size("tokens"))).first()[0] or 0) // ENTRIES_A_PASS))
     entry = classes.select("rep", "label", "n", F.posexplode(F.arrays_zip("tokens", "seen")).alias("pos", "t"))
     entry = entry.select("rep", "label", "n", "pos", F.col("t.tokens").alias("token"), F.col("t.seen").alias("seen"))
+    own = F.pmod(F.xxhash64(F.lit("pass"), "token"), F.lit(n))
+    return [written(_forest_of(entry.where(own == k) if n > 1 else entry, classes, percent), "forest") for k in range(n)]
+
+
+def _forest_of(entry: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     # the sketch never counts too little, so only lists that it calls long are counted
     dealt = deal(entry, "token", LIST_ROWS, F.col("seen") > LIST_ROWS).select("token", "a", "b", "rep", "label", "n", "pos", "block")
     kept = _lists(_sorted_lists(dealt), percent, bitmaps=False)
@@ -418,9 +430,20 @@ def _links_of_cell(sets: list[np.ndarray], percent: int, crossing: np.ndarray |
     return forest, degree
 
 
-def exact_links(cells: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v) edges with the components of the exact links within cells (rep, cell, label)."""
-    sets = written(sets_of(documents, cells, width), "cell-sets")
+def exact_links(cells: DataFrame, documents: DataFrame, width: int, percent: int) -> list[DataFrame]:
+    """(u, v) edges with the components of the exact links within cells (rep, cell, label, n), a table for each pass."""
+    n = max(1, -(-(cells.agg(F.sum("n")).first()[0] or 0) // SHINGLES_A_PASS))
+    own = F.pmod(F.xxhash64(F.lit("pass"), "cell"), F.lit(n))
+    found = []
+    for k in range(n):
+        part = cells.where(own == k) if n > 1 else cells
+        sets = written(sets_of(documents, part, width), "cell-sets", TEXT_ROWS)
+        found.append(written(_links_of_cells(part.select("rep", "cell", "label"), sets, percent), "links"))
+        discard(sets)
+    return found
+
+
+def _links_of_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = sets.join(deal(cells, "cell", CELL_ROWS), "rep")
 
     def run(key, frame):
@@ -451,21 +474,26 @@ def set_digest(text, width: int):
 
 def jaccard_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and the digest of the set for every row."""
-    table = written(prefixes(documents, sketch(documents, width), width, percent), "prefixes")
+    whole = written(prefixes(documents, sketch(documents, width), width, percent), "prefixes", TEXT_ROWS)
+    table = written(whole.select("doc_id", "n", "digest"), "sizes")
     classes = table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
     known = classes.where("rep is not null").select(F.col("rep"), F.col("digest").alias("own"))
-    firsts = table.join(known, (table["doc_id"] == known["rep"]) & (table["digest"] == known["own"]))
-    firsts = firsts.dropDuplicates(["rep", "digest"]).select("rep", "n", "bitmap", "minima", "tokens", "seen")
+    firsts = whole.join(known, (whole["doc_id"] == known["rep"]) & (whole["digest"] == known["own"]))
+    # by the columns of the join, so that the sets are not shuffled again
+    firsts = firsts.dropDuplicates(["doc_id", "digest"]).select("rep", "n", "bitmap", "minima", "tokens", "seen")
     firsts = written(firsts, "firsts")
+    discard(whole)
     hot = hot_links(firsts, documents, width, percent)
     labels = written(connected(hot).select(F.col("node").alias("rep"), "component"), "labels")
     label = F.coalesce("component", "rep").alias("label")
     labelled = firsts.join(labels, "rep", "left").select("rep", label, "n", "bitmap", "tokens", "seen")
-    forest = written(candidate_forest(labelled, percent).union(hot), "forest")
+    forest = reduce(DataFrame.union, candidate_forest(labelled, percent), hot)
     cells = connected(forest).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
-    cells = written(cells.join(labels, "rep", "left").select("rep", "cell", label), "cells")
-    links = written(exact_links(cells, documents, width, percent).union(hot), "links")
+    sizes = firsts.groupBy("rep").agg(F.max("n").alias("n"))
+    cells = written(cells.join(labels, "rep", "left").join(sizes, "rep").select("rep", "cell", label, "n"), "cells")
+    discard(firsts)
+    links = reduce(DataFrame.union, exact_links(cells, documents, width, percent), hot)
     found = connected(links)
     named = classes.join(found, classes["rep"] == found["node"], "left").select(
         F.col("digest").alias("own"), F.coalesce("component", "rep").alias("component")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from spanwright.llm import common
 from spanwright.llm import set_relation_join as sr
 
 
@@ -92,3 +93,16 @@ def test_derived_counts_equal_counted_ones():
     for x, a in enumerate(sets):
         linked = [y for y, b in enumerate(sets) if y != x and 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))]
         assert degree[x] == len(linked) and all(forest.root(x) == forest.root(y) for y in linked)
+
+
+def test_passes_against_brute_force_and_nothing_large_is_left_on_disk(spark, monkeypatch):
+    for name, value in (("CELL_ROWS", 16), ("LIST_ROWS", 8), ("ENTRIES_A_PASS", 60), ("SHINGLES_A_PASS", 500)):
+        monkeypatch.setattr(sr, name, value)
+    rows = corpus(3, n_groups=6, hot=20)
+    before = {path for _, path in common._written}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sr.jaccard_components(docs).collect()}
+    assert got == brute(rows)
+    left = [path.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, path in common._written if path not in before]
+    assert left.count("forest") > 1 and left.count("links") > 1
+    assert not {"prefixes", "firsts", "cell-sets"} & set(left)
