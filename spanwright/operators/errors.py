@@ -165,7 +165,8 @@ def chunk_classes(chunked: DataFrame, blocked: DataFrame, streams: DataFrame, ga
     ``blocked`` are the quarantined units, ``streams`` has video_id and total_ms.  What a chunk starts after or ends
     before within the gap is looked up by bins of the gap, so a video's chunks never meet all its quarantined units.
     """
-    chunk = chunked.groupBy("video_id", "chunk").agg(F.min("start_ms").alias("start_ms"), F.max_by("end_ms", F.struct("start_ms", "end_ms", "idx")).alias("end_ms"))
+    last = F.when(F.col("end_ms").isNotNull(), F.struct("start_ms", "end_ms", "idx"))
+    chunk = chunked.groupBy("video_id", "chunk").agg(F.min("start_ms").alias("start_ms"), F.max_by("end_ms", last).alias("end_ms"))
     width = max(gap_ms, 1)
 
     def beside(mine: str, other: str, gap: Column, name: str) -> DataFrame:

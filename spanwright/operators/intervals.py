@@ -1,7 +1,7 @@
 """Runs, gaps and overlaps of spans: DataFrame in, DataFrame out.
 
 Spans have video_id, idx, start_ms and end_ms.  Windows are per video and always end their order with idx, so that
-equal spans keep one order.  A video's spans are the unit of work: they sort within one task and spill if they must.
+equal spans keep one order; nulls stand last, as in SQL.  A video's spans are the unit of work: they sort within one task and spill if they must.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ ORDER = ["start_ms", "end_ms", "idx"]
 
 
 def by_video(*more: str) -> Window:
-    return Window.partitionBy("video_id", *more).orderBy(*ORDER)
+    return Window.partitionBy("video_id", *more).orderBy(*[F.col(c).asc_nulls_last() for c in ORDER])
 
 
 def earlier(window):
@@ -53,6 +53,11 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_ms: int, how_long: str =
     return a.join(b, ["video_id", "bin"]).where(meet & touch).drop("bin")
 
 
+def touched_spans(units: DataFrame, events: DataFrame, bin_ms: int) -> DataFrame:
+    """(video_id, start_ms, end_ms), once each, of the units that an event overlaps; ids play no role, as they may repeat or be null."""
+    return overlap_join(units.select("video_id", "start_ms", "end_ms"), events, bin_ms).select("video_id", "start_ms", "end_ms").distinct()
+
+
 def chunks(units: DataFrame, gap_ms: int) -> DataFrame:
     """Number the runs of units whose gaps are at most ``gap_ms``; an unreliable unit ends the run before it and after it."""
     w = by_video()
