@@ -74,13 +74,15 @@ def edge_grid(counted: DataFrame, events: DataFrame, units: DataFrame, taus_ms:
 def class_cells(counted: DataFrame, units: DataFrame, touched: DataFrame, taus_ms: list[int], thresholds: list[float]) -> DataFrame:
     """Per ``class`` of unit: units, the mean over the cells of the share that a counted match holds, and units that no event touches.
 
-    ``units`` have video_id, idx, unit and class; ``touched`` the video_id and idx of those that an event overlaps.
+    ``units`` have video_id, unit and class; ``touched`` the video_id and unit of those that an event overlaps.
+    Matches of an event whose id stands for several add up.
     """
     cells = [(t, float(h)) for t in taus_ms for h in thresholds]
     grid = F.array(*[F.struct(F.lit(t).cast("long").alias("tau"), F.lit(h).alias("threshold")) for t, h in cells])
     within = F.size(F.filter(grid, lambda g: (F.col("tiou") >= g["threshold"]) & (F.col("edge_ms") <= g["tau"])))
-    held = counted.select("video_id", F.explode(F.sequence("first_unit", "last_unit")).alias("unit"), (within / len(cells)).alias("part"))
-    seen = units.join(held, ["video_id", "unit"], "left").join(touched.withColumn("touched", F.lit(True)), ["video_id", "idx"], "left")
+    held = counted.select("video_id", F.explode(F.sequence("first_unit", "last_unit")).alias("unit"), within.alias("cells"))
+    held = held.groupBy("video_id", "unit").agg((F.sum("cells") / len(cells)).alias("part"))
+    seen = units.join(held, ["video_id", "unit"], "left").join(touched.withColumn("touched", F.lit(True)), ["video_id", "unit"], "left")
     return seen.groupBy("class").agg(
         F.count("*").alias("units"), F.round(F.avg(F.coalesce("part", F.lit(0.0))), 9).alias("matched_share"), F.count_if(F.col("touched").isNull()).alias("uncaptioned")
     )

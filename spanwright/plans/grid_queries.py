@@ -108,8 +108,8 @@ def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units by the class of their chunk: the share that counts, averaged over the cells, and those that no caption touches."""
     chunked, classes = _classes(spark, sf_dir)
     units, events = errors.numbered_units(chunked), _captions(spark, sf_dir)
-    touched = iv.overlap_join(units, events, BIN).select("video_id", "idx").distinct()
-    named = units.join(classes.select("video_id", "chunk", "class"), ["video_id", "chunk"]).select("video_id", "idx", "unit", "class")
+    touched = iv.overlap_join(units, events, BIN).select("video_id", "unit").distinct()
+    named = units.join(classes.select("video_id", "chunk", "class"), ["video_id", "chunk"]).select("video_id", "unit", "class")
     return scoring.class_cells(_counted(units, events), named, touched, TAUS, GRID)
 
 

@@ -48,3 +48,8 @@ def check(spark, made, name):
 @pytest.mark.parametrize("rows", TABLES)
 def test_chunk_class_units(spark, events, rows):
     check(spark, events[rows], "chunk_class_units")
+
+
+@pytest.mark.parametrize("rows", TABLES)
+def test_class_scores(spark, events, rows):
+    check(spark, events[rows], "class_scores")
