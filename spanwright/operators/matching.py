@@ -71,7 +71,10 @@ def _reach() -> list[Column]:
 
 
 def match_items(events: DataFrame, items: DataFrame, least: float, bin_ms: int) -> DataFrame:
-    """Best temporal overlap first, ties to the lower event, then the lower item; an item blocks all its units."""
+    """Best temporal overlap first, ties to the lower event, then the lower item; an item blocks all its units.
+
+    An event without an id matches nothing; events that share an id have one match between them, wherever they lie.
+    """
     pairs = iv.overlap_join(events, items, bin_ms).withColumn("tiou", iv.tiou()).where(F.col("tiou") >= least)
     candidates = pairs.select(
         "video_id",
@@ -80,7 +83,9 @@ def match_items(events: DataFrame, items: DataFrame, least: float, bin_ms: int)
         F.col("other_last_unit").alias("last_unit"),
         "tiou",
         *_reach(),
-    )
+    ).where("event is not null")
+    one = Window.partitionBy("video_id", "event")
+    candidates = candidates.repartition("video_id").withColumns({"from_ms": F.min("from_ms").over(one), "to_ms": F.max("to_ms").over(one)})
     order = F.struct(-F.col("tiou"), F.col("event"), F.col("first_unit"), F.col("last_unit"))
     split = islands(candidates, ["video_id"], "from_ms", "to_ms")
     return greedy(split, ["video_id", "island"], order, ["event", "first_unit", "last_unit", "tiou"]).drop("island")

@@ -53,3 +53,8 @@ def test_chunk_class_units(spark, events, rows):
 @pytest.mark.parametrize("rows", TABLES)
 def test_class_scores(spark, events, rows):
     check(spark, events[rows], "class_scores")
+
+
+@pytest.mark.parametrize("rows", TABLES)
+def test_edge_error_types(spark, events, rows):
+    check(spark, events[rows], "edge_error_types")
