@@ -126,8 +126,8 @@ def repeated_texts(units: DataFrame, train: DataFrame, least_words: int, most_vi
 
 def mark_unreliable(units: DataFrame, marks: DataFrame, bin_ms: int) -> DataFrame:
     """Units (with ``reliable``) that overlap a mark become unreliable, and each mark becomes an unreliable unit without a text."""
-    hit = iv.overlap_join(units.select("video_id", "idx", "start_ms", "end_ms"), marks, bin_ms).select("video_id", "idx").distinct()
-    kept = units.join(hit.withColumn("hit", F.lit(True)), ["video_id", "idx"], "left")
+    hit = iv.touched_spans(units, marks, bin_ms).withColumn("hit", F.lit(True))
+    kept = units.join(hit, ["video_id", "start_ms", "end_ms"], "left")
     kept = kept.withColumn("reliable", F.col("reliable") & F.col("hit").isNull()).select("video_id", "idx", "start_ms", "end_ms", "reliable")
     return kept.unionByName(marks.select("video_id", "idx", "start_ms", "end_ms", F.lit(False).alias("reliable")))
 

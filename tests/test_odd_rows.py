@@ -58,3 +58,8 @@ def test_class_scores(spark, events, rows):
 @pytest.mark.parametrize("rows", TABLES)
 def test_edge_error_types(spark, events, rows):
     check(spark, events[rows], "edge_error_types")
+
+
+@pytest.mark.parametrize("rows", TABLES)
+def test_marked_units(spark, events, rows):
+    check(spark, events[rows], "marked_units")
