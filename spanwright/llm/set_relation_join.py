@@ -135,9 +135,11 @@ def sketch(documents: DataFrame, width: int) -> np.ndarray:
     kind = "part int, salt int, counts binary"
     local = documents.select("text").mapInPandas(count, kind)
     summed = local.groupBy("part", "salt").applyInPandas(add, kind).groupBy("part").applyInPandas(lambda k, f: add(k, f), kind)
+    summed = written(summed, "sketch")
     out = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.int32)
     for part, _, counts in summed.collect():
         out[part] = np.frombuffer(counts, np.int32)
+    discard(summed)
     return out.reshape(-1)
 
 
@@ -487,12 +489,14 @@ def jaccard_classes(documents: DataFrame, width: int = WIDTH, percent: int = PER
     hot = hot_links(firsts, documents, width, percent)
     labels = written(connected(hot).select(F.col("node").alias("rep"), "component"), "labels")
     label = F.coalesce("component", "rep").alias("label")
-    labelled = firsts.join(labels, "rep", "left").select("rep", label, "n", "bitmap", "tokens", "seen")
+    # once for all passes
+    labelled = written(firsts.join(labels, "rep", "left").select("rep", label, "n", "bitmap", "tokens", "seen"), "labelled")
+    discard(firsts)
     forest = reduce(DataFrame.union, candidate_forest(labelled, percent), hot)
     cells = connected(forest).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
-    sizes = firsts.groupBy("rep").agg(F.max("n").alias("n"))
+    sizes = labelled.groupBy("rep").agg(F.max("n").alias("n"))
     cells = written(cells.join(labels, "rep", "left").join(sizes, "rep").select("rep", "cell", label, "n"), "cells")
-    discard(firsts)
+    discard(labelled)
     links = reduce(DataFrame.union, exact_links(cells, documents, width, percent), hot)
     found = connected(links)
     named = classes.join(found, classes["rep"] == found["node"], "left").select(
