@@ -84,6 +84,11 @@ def match_items(events: DataFrame, items: DataFrame, least: float, bin_ms: int)
         "tiou",
         *_reach(),
     ).where("event is not null")
+    return _best_first(candidates)
+
+
+def _best_first(candidates: DataFrame) -> DataFrame:
+    """Walk candidates of events and runs of units, the candidates of one event on one island wherever they lie."""
     one = Window.partitionBy("video_id", "event")
     candidates = candidates.repartition("video_id").withColumns({"from_ms": F.min("from_ms").over(one), "to_ms": F.max("to_ms").over(one)})
     order = F.struct(-F.col("tiou"), F.col("event"), F.col("first_unit"), F.col("last_unit"))
@@ -91,6 +96,38 @@ def match_items(events: DataFrame, items: DataFrame, least: float, bin_ms: int)
     return greedy(split, ["video_id", "island"], order, ["event", "first_unit", "last_unit", "tiou"]).drop("island")
 
 
+def run_candidates(events: DataFrame, units: DataFrame, least: float, bin_ms: int) -> DataFrame:
+    """Events with every run of neighbouring units of a chunk, of any length, that overlaps them by ``least`` or more (over 0).
+
+    ``units`` are numbered and chunked.  The union of such a pair is at most the event's length over ``least``, so a run starts and ends
+    within that of the event: only units that do are paired up, by bins, and no list of all runs of a chunk is made.
+    """
+    asked = events.where("idx is not null and end_ms > start_ms").select("video_id", F.col("idx").alias("event"), "start_ms", "end_ms").distinct()
+    # a millisecond more, as the quotient may be rounded
+    asked = asked.withColumn("reach", F.ceil((F.col("end_ms") - F.col("start_ms")) / F.lit(least)) + 1)
+    place = lambda c: F.floor(c / bin_ms)
+
+    def edges(point: str, low: Column, high: Column, unit: str, to: str) -> DataFrame:
+        at = units.select("video_id", "chunk", F.col("unit").alias(unit), F.col(point).alias(to), F.col("start_ms").alias(f"{unit}_start"))
+        at = at.withColumn("bin", place(F.col(to)))
+        near = asked.withColumn("bin", F.explode(F.sequence(place(low), place(high))))
+        return near.join(at, ["video_id", "bin"]).where(F.col(to).between(low, high)).drop("bin", "reach")
+
+    s, e, reach = F.col("start_ms"), F.col("end_ms"), F.col("reach")
+    firsts = edges("start_ms", e - reach, e, "first_unit", "other_start_ms")
+    lasts = edges("end_ms", s, s + reach, "last_unit", "other_end_ms")
+    pairs = firsts.join(lasts, ["video_id", "event", "start_ms", "end_ms", "chunk"]).where("first_unit <= last_unit")
+    pairs = pairs.withColumn("tiou", iv.tiou()).where(F.col("tiou") >= least)
+    # a last unit that ends before it starts still is one of the run's
+    within = F.least("start_ms", "other_start_ms"), F.greatest("end_ms", "other_end_ms", "last_unit_start")
+    return pairs.select("video_id", "event", "first_unit", "last_unit", "tiou", within[0].alias("from_ms"), within[1].alias("to_ms"))
+
+
+def match_runs(events: DataFrame, units: DataFrame, least: float, bin_ms: int) -> DataFrame:
+    """As :func:`match_items` with every run of a chunk as an item, however many units it has."""
+    return _best_first(run_candidates(events, units, least, bin_ms))
+
+
 def match_segments(events: DataFrame, gold: DataFrame, least: float, bin_ms: int) -> DataFrame:
     """Plain one-to-one matching; among equal overlaps the higher event and the higher gold index go first."""
     pairs = iv.overlap_join(events, gold, bin_ms).withColumn("tiou", iv.tiou()).where(F.col("tiou") >= least)

@@ -105,6 +105,8 @@ walk as (
       not list_contains(w.used_events, q.event) and not list_has_any(w.used_units, range(q.first_unit, q.last_unit + 1)) as ok
     from walk w join queue q on q.video_id = w.video_id and q.n = w.n + 1) q),
 matches as (select video_id, event, first_unit, last_unit, tiou from walk where won)"""
+#: The same with runs of any number of units.
+WHOLE_MATCH_SQL = MATCH_SQL.replace(f" and b.unit - a.unit < {MOST_UNITS}", "")
 
 
 @query(f"{MATCH_SQL} select video_id, event, first_unit, last_unit, round(tiou, 9) as tiou from matches")
