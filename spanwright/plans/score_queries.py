@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanwright.operators import errors, matching
 from spanwright.operators import intervals as iv
-from spanwright.plans.span_queries import BIN, CHUNK_GAP, HOUR, MATCH_SQL, MOST_UNITS
+from spanwright.plans.span_queries import BIN, CHUNK_GAP, HOUR, WHOLE_MATCH_SQL
 from spanwright.sources.tables import SPANS_SQL, gold, predicted, spans
 
 TAUS = [HOUR, 4 * HOUR]
@@ -59,7 +59,7 @@ def _side_sql(side: str, alone: str) -> str:
   from (select tau_ms, threshold, {TYPE_SQL.format(alone=alone)} as type, count(*) as n, sum(part) as parts from {side}s, grid group by 1, 2, 3)"""
 
 
-@query(f"""{MATCH_SQL},
+@query(f"""{WHOLE_MATCH_SQL},
 grid as (select tau_ms, threshold from (values ({TAUS[0]}::bigint), ({TAUS[1]})) a(tau_ms), (values (0.3::double), (0.5), (0.7)) b(threshold)),
 touching as (select p.video_id, p.idx, u.unit, greatest(least(p.start_ms - u.start_ms, u.end_ms - p.start_ms), least(p.end_ms - u.start_ms, u.end_ms - p.end_ms)) as depth,
     case when least(p.end_ms, u.end_ms) - greatest(p.start_ms, u.start_ms) >= {COVER} * greatest(u.end_ms - u.start_ms, 1) then u.chunk end as chunk
@@ -79,7 +79,7 @@ def edge_error_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six types of captions and of units for each cell of edge limit and overlap threshold."""
     chunked = errors.numbered_units(iv.chunks(gold(spark, sf_dir), CHUNK_GAP))
     events = predicted(spark, sf_dir)
-    found = matching.match_items(events, matching.chunk_items(iv.chunks(gold(spark, sf_dir), CHUNK_GAP), MOST_UNITS), 0.3, BIN)
+    found = matching.match_runs(events, chunked, GRID[0], BIN)
     return errors.error_types(events, chunked, found, TAUS, GRID, COVER, BIN)
 
 

@@ -34,3 +34,8 @@ def test_class_scores(spark, tables):
     got = check(spark, tables, "class_scores")
     # all twelve units of the first stream are matched, not six of them at most
     assert got["matched_share"].astype(float).max() == 1
+
+
+def test_edge_error_types(spark, tables):
+    got = check(spark, tables, "edge_error_types")
+    assert got[(got["side"] == "unit") & (got["type"] == "joined")]["n"].astype(int).max() >= 12
